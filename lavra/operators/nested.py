@@ -56,19 +56,18 @@ def parse(text: str | None) -> dict | None:
     return text if isinstance(text, dict) else None
 
 
-def entries(part: object, key: str = "name") -> Iterator[tuple[str, object]]:
-    """(name, entry) pairs of a part shaped as object, list or single value."""
+def entries(part: object, *naming: str) -> Iterator[tuple[str, object]]:
+    """(name, entry) pairs of a part shaped as object, list or single value; naming: the fields that may hold the name."""
+    naming = naming or ("name",)
     if isinstance(part, dict):
-        if isinstance(part.get(key), str) and not isinstance(part.get("type"), (dict, list)):
-            yield part[key], part
+        own = next((part[k] for k in naming if isinstance(part.get(k), str)), None)
+        if own is not None and not isinstance(part.get("type"), (dict, list)):
+            yield own, part
         else:
             yield from part.items()
     elif isinstance(part, list):
         for x in part:
-            if isinstance(x, (dict, list)):
-                yield from entries(x, key)
-            elif x is not None:
-                yield str(x), {}
+            yield from entries(x, *naming)
     elif isinstance(part, (str, int, float)) and not isinstance(part, bool):
         yield str(part), {}
 
@@ -87,7 +86,7 @@ def _sources(part: object) -> Iterator[tuple[str, str, object]]:
                     continue
                 if isinstance(below, dict) and inner in below:
                     below = below[inner]
-                for key, entry in entries(below, "key"):
+                for key, entry in entries(below, "key", "name"):
                     yield kind, key, entry
 
 
@@ -137,7 +136,7 @@ def visit(record_id: int | None, document: dict) -> Iterator[tuple]:
                 yield from columns(sheet.get("fields"), sheet_pk + "/d", source, name, "")
         keys = entry.get("foreign_keys")
         for m, fk in enumerate(keys if isinstance(keys, list) else [keys]):
-            if isinstance(fk, dict):
+            if isinstance(fk, dict) and fk:
                 own, ref = _list(fk.get("columns")), _list(fk.get("references_columns"))
                 body = json.dumps({"columns": own, "references_table": fk.get("references_table"), "references_columns": ref}, ensure_ascii=False)
                 yield "foreign_key", record_id, f"{pk}/f{m}", pk, m, source, "", f"{','.join(own)}>{fk.get('references_table') or ''}", body

@@ -68,3 +68,22 @@ def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
     """Give CPU-heavy Python stages enough tasks: repartition only where the scan yields fewer tasks than cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * tasks_per_core)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that Python workers anywhere can import it."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_lavra_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lavra-"), "lavra_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for base, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._lavra_shipped = True
