@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import distinctive
-from lavra.session import table
+from lavra.llm import distinctive, leakage, packing, sentences
+from lavra.session import materialize, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_weights", _TERMS + "select record_kind, record_uid, term, cast(tf as bigint) as tf, cast(df as bigint) as df, round(p_d * log2(p_d / p_c), 6) as weight from scored where df >= 2")
 def p4_weights(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.weights(_collection(spark, d)).select("record_kind", "record_uid", "term", "tf", "df", F.round("weight", 6).alias("weight"))
+
+
+# ---------------------------------------------------------------- problem 6
+@query("p6_pack")
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    counts = materialize(packing.token_counts(table(spark, d, "documents")), "token-counts")
+    return packing.pack(counts, table(spark, d, "container_specs"))
+
+
+@query("p6_fill")
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_pack(spark, d))
+
+
+# ---------------------------------------------------------------- problem 7
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    index = leakage.build_index(table(spark, d, "documents"))
+    return leakage.search(index, leakage.prepare_items(table(spark, d, "eval_items"))).select("doc_id", "item_id").distinct()
+
+
+# ---------------------------------------------------------------- problem 8
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(spread(table(spark, d, "documents")))
