@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import distinctive, leakage, packing, sentences
+from lavra.llm import distinctive, leakage, packing, residue, sentences
 from lavra.session import materialize, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(spread(table(spark, d, "documents")))
+
+
+# ---------------------------------------------------------------- problem 5
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.flagged(residue.evidence(table(spark, d, "catalog_sources")))
+
+
+@query("p5_evidence")
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Fields by sign, shared terms and repetition."""
+    told = residue.evidence(table(spark, d, "catalog_sources"))
+    return told.groupBy("campo", "sign", (F.col("shared") > 0).alias("names_itself"), (F.col("same") >= residue.DUPLICATED).alias("duplicated")).agg(F.count("*").alias("fields"))
