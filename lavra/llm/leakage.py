@@ -1,16 +1,15 @@
 """Problem 7: held-out items that leaked into documents, found with a positional inverted index.
 
-Index: one posting (term, doc_id, pos) for every word of every document, written to the shared folder and sorted by term
-within each file, so that a look-up skips row groups. Search, for every item at once:
-
-1. The rarest words of the item are its anchors: the ANCHORS rarest of every window of `run` words (a passage of `run`
-   words holds them all, at the same distances as in the item), and the rarest quarter of its words plus `extra` (a copy
-   that keeps three quarters of the words holds at least `extra` of them). Rare means few postings times few items.
-2. Posting lists of the anchors, adjusted by the anchor's offset, are intersected: documents with ANCHORS anchors of one
-   window at one offset, or with `extra` anchors, are candidates; the former must go on to agree in `run` words at that
-   offset, the latter must hold all but a quarter of the words.
-3. Of the candidates all posting lists of the item's words are intersected in the same way; the longest run at one offset
-   decides on a passage, the longest in-order chain inside a window of `slack` times the item's length on a reworded copy.
+Index: one posting (term, next term, doc_id, pos) for every word of every document, written to the shared folder and sorted
+by term within each file, so that a look-up skips row groups. Search, for every item at once:
+
+1. Anchors: of every window of `run` words the rarest pair of neighbouring words (a passage of `run` words holds it), and
+   the rarest quarter of the item's words plus `extra` (a copy that keeps three quarters of the words holds at least
+   `extra` of them). Rare means few postings times few items.
+2. Documents with a pair, or with `extra` anchors and all but a quarter of the item's different words, are candidates.
+3. Of the candidates all posting lists of the item's words, adjusted by the word's offset, are intersected: the longest run
+   at one offset decides on a passage, the longest in-order chain inside a window of `slack` times the item's length on a
+   reworded copy.
 
 Defined results: null and blank texts have no words; items shorter than `run` words can only match by copy; an opening
 sentence that several items share is an instruction and left aside for copies; repeated documents are reported each.
@@ -34,8 +33,6 @@ from lavra.functions.text import strip_accents
 from lavra.session import materialize
 
 BROADCAST_ROWS = 200_000
-ANCHORS = 3
-_MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("run", pa.int32()), ("chain", pa.int32()), ("words", pa.int32())])
 
 
 def item_words(c):
@@ -44,9 +41,11 @@ def item_words(c):
 
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(term, doc_id, pos) of every word of every document, as a written table."""
-    postings = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.posexplode(item_words(F.col(text_column))).alias("pos", "term"))
-    return materialize(postings.select("term", "doc_id", "pos").sortWithinPartitions("term", "doc_id"), "postings")
+    """(term, next, doc_id, pos) of every word of every document, as a written table."""
+    split = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), item_words(F.col(text_column)).alias("term")).where(F.size("term") > 0)
+    after = F.concat(F.slice("term", F.lit(2), F.size("term")), F.array(F.lit("")))
+    placed = split.withColumn("next", after).select("doc_id", F.posexplode(F.arrays_zip("term", "next")).alias("pos", "w"))
+    return materialize(placed.select("w.term", "w.next", "doc_id", "pos").sortWithinPartitions("term", "doc_id"), "postings")
 
 
 def prepare_items(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
@@ -63,35 +62,18 @@ def _anchor_rows(run: int, extra: int, keep: float):
             out: list[tuple] = []
             for item, skip, places in zip(*(c.to_pylist() for c in batch.columns)):
                 seq = sorted(places, key=lambda p: p["ipos"])
-                rarity = [(p["n"], p["ipos"]) for p in seq]
-                window: set[int] = set()
+                pairs: set[int] = set()
                 for i in range(len(seq) - run + 1):
-                    window.update(p for _, p in sorted(rarity[i : i + run])[:ANCHORS])
-                body = [r for r in rarity if r[1] >= skip]
+                    pairs.add(min((p["pair_n"], p["ipos"]) for p in seq[i : i + run - 1])[1])
+                body = [(p["n"], p["ipos"]) for p in seq if p["ipos"] >= skip]
                 few = {p for _, p in sorted(body)[: len(body) - int(np.ceil(keep * len(body) - 1e-9)) + extra]}
-                out += [(item, p["term"], p["ipos"], p["ipos"] in window, p["ipos"] in few) for p in seq if p["ipos"] in window or p["ipos"] in few]
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.bool_())], ["item_id", "term", "ipos", "in_window", "in_rare"])
+                out += [(item, p["term"], p["next"], p["ipos"], p["ipos"] in pairs, p["ipos"] in few) for p in seq if p["ipos"] in pairs or p["ipos"] in few]
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()))], ["item_id", "term", "next", "ipos", "is_pair", "is_rare"])
 
     return anchors
 
 
-def _longest_run(pairs: list[tuple[int, int]]) -> int:
-    """Longest stretch of successive item words at one offset."""
-    lines = defaultdict(list)
-    for i, d in pairs:
-        lines[d - i].append(i)
-    best = 0
-    for at in lines.values():
-        at.sort()
-        length = 1
-        for a, b in zip(at, at[1:]):
-            length = length + 1 if b == a + 1 else 1
-            best = max(best, length)
-        best = max(best, 1)
-    return best
-
-
 def _chain(pairs: list[tuple[int, int]], least: int, span: int) -> int:
     """Longest in-order chain of item words within span document words; 0 where no window can hold least of them."""
     pairs = sorted(pairs, key=lambda p: (p[1], -p[0]))
@@ -125,54 +107,56 @@ def _verify(keep: float, slack: float):
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, item, size, skip, places in zip(*(c.to_pylist() for c in batch.columns)):
-                pairs = [(p["ipos"], p["dpos"]) for p in places]
+            for doc, item, size, skip, ipos, dpos in zip(*(c.to_pylist() for c in batch.columns)):
                 body = size - skip
-                least = int(np.ceil(keep * body - 1e-9))
-                rows.append((doc, item, _longest_run(pairs), _chain([p for p in pairs if p[0] >= skip], max(1, least), int(slack * body + 1e-9)), body))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _MATCH)], schema=_MATCH)
+                least = max(1, int(np.ceil(keep * body - 1e-9)))
+                if _chain(list(zip(ipos, dpos)), least, int(slack * body + 1e-9)) >= least:
+                    rows.append((doc, item))
+            cols = list(zip(*rows)) if rows else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id"])
 
     return run_over
 
 
-def search(index: DataFrame, items: DataFrame, run: int = 12, keep: float = 0.75, slack: float = 1.3, extra: int = 4) -> DataFrame:
-    """(doc_id, item_id, run, chain, words) of every document that holds a passage of run words, or a reworded copy, of an item.
+def search(index: DataFrame, items: DataFrame, run: int = 12, keep: float = 0.75, slack: float = 1.3, extra: int = 6) -> DataFrame:
+    """(doc_id, item_id, how) of every document that holds a passage of run words, or a reworded copy, of an item.
 
     index: build_index(). items: prepare_items().
     """
-    places = materialize(items.select("item_id", "skip", F.size("words").alias("size"), F.posexplode("words").alias("ipos", "term")), "item-places")
+    after = F.concat(F.slice("words", F.lit(2), F.size("words")), F.array(F.lit("")))
+    zipped = F.posexplode(F.arrays_zip(F.col("words").alias("term"), after.alias("next")))
+    places = items.select("item_id", "skip", F.size("words").alias("size"), zipped.alias("ipos", "w")).select("item_id", "skip", "size", "ipos", F.col("w.term").alias("term"), F.col("w.next").alias("next"))
+    places = materialize(places, "item-places")
     terms = places.select("term").distinct()
-    small = places.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
-    in_items = places.groupBy("term").agg(F.countDistinct("item_id").alias("items"))
-    counts = index.join(hint(terms), "term").groupBy("term").agg(F.count("*").alias("n")).join(in_items, "term").select("term", (F.col("n") * F.col("items")).alias("n"))
-    placed = places.join(counts, "term", "left").groupBy("item_id", "skip").agg(F.collect_list(F.struct("term", "ipos", F.coalesce("n", F.lit(0)).alias("n"))).alias("places"))
-    anchors = materialize(placed.mapInArrow(_anchor_rows(run, extra, keep), "item_id bigint, term string, ipos int, in_window boolean, in_rare boolean"), "anchors")
-    hits = index.join(hint(anchors), "term").select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("offset"), "in_window", "in_rare")
-    lines = hits.where("in_window").groupBy("doc_id", "item_id", "offset").agg(F.sort_array(F.collect_set("ipos")).alias("at")).where(F.size("at") >= ANCHORS)
-    close = F.exists(F.sequence(F.lit(0), F.size("at") - ANCHORS), lambda i: F.get("at", i + (ANCHORS - 1)) - F.get("at", i) < run)
-    lined = materialize(lines.where(close).select("doc_id", "item_id", "offset"), "lines")
-    near = (
-        hits.where("in_rare").groupBy("doc_id", "item_id", "ipos").agg(F.count("*").alias("n"))
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where(F.col("n") >= extra).select("doc_id", "item_id")
-    )
+    hint = F.broadcast if places.count() <= BROADCAST_ROWS else (lambda x: x)
+
+    def cost(keys: list[str], name: str) -> DataFrame:
+        in_items = places.groupBy(*keys).agg(F.countDistinct("item_id").alias("items"))
+        found = index.join(hint(in_items), keys).groupBy(*keys, "items").agg(F.count("*").alias("n"))
+        return found.select(*keys, (F.col("n") * F.col("items")).alias(name))
+
+    known = F.struct("term", "next", "ipos", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pair_n", F.lit(0)).alias("pair_n"))
+    placed = places.join(cost(["term"], "n"), "term", "left").join(cost(["term", "next"], "pair_n"), ["term", "next"], "left").groupBy("item_id", "skip").agg(F.collect_list(known).alias("places"))
+    anchors = materialize(placed.mapInArrow(_anchor_rows(run, extra, keep), "item_id bigint, term string, next string, ipos int, is_pair boolean, is_rare boolean"), "anchors")
+    lined = index.join(hint(anchors.where("is_pair").select("item_id", "term", "next", "ipos")), ["term", "next"])
+    lined = lined.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("offset")).distinct()
+    rare = anchors.where("is_rare").select("item_id", "term", "ipos")
+    near = index.select("term", "doc_id").join(hint(rare), "term").groupBy("doc_id", "item_id", "ipos").agg(F.count("*").alias("n"))
+    near = near.groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where(F.col("n") >= extra).select("doc_id", "item_id")
     near = materialize(near, "near")
-    # the documents met so far, put together again from their postings
-    met = lined.select("doc_id").unionByName(near.select("doc_id")).distinct()
-    texts = index.join(met, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term")))["term"].alias("text"))
-    texts = materialize(texts, "texts")
-    begin = F.greatest(F.col("offset"), F.lit(0))
-    there = F.slice("text", begin + 1, F.size("words") + F.least(F.col("offset"), F.lit(0)))
-    here = F.slice("words", begin - F.col("offset") + 1, F.size("words"))
-    same = F.array_join(F.zip_with(there, here, lambda x, y: F.when(x.eqNullSafe(y), "1").otherwise("0")), "")
-    aligned = lined.join(hint(items), "item_id").join(texts, "doc_id").where(same.contains("1" * run)).select("doc_id", "item_id")
-    wanted = items.select("item_id", F.array_distinct(F.slice("words", F.col("skip") + 1, F.size("words"))).alias("wanted"), F.floor((1 - keep) * (F.size("words") - F.col("skip")) + 1e-9).alias("lost"))
-    held = F.size(F.array_intersect("wanted", "text")) >= F.size("wanted") - F.col("lost")
-    whole = near.join(hint(wanted), "item_id").join(texts, "doc_id").where(held).select("doc_id", "item_id")
-    candidates = materialize(aligned.unionByName(whole).distinct(), "candidates")
-    # only documents with candidates, only words of items: then each candidate's lists
-    listed = index.join(hint(terms), "term", "left_semi").join(candidates, "doc_id").join(hint(places), ["item_id", "term"])
-    lists = listed.groupBy("doc_id", "item_id", "size", "skip").agg(F.collect_list(F.struct("ipos", F.col("pos").alias("dpos"))).alias("places"))
-    matched = lists.mapInArrow(_verify(keep, slack), "doc_id bigint, item_id bigint, run int, chain int, words int")
-    return matched.where((F.col("run") >= run) | (F.col("chain") >= F.ceil(keep * F.col("words"))))
+    # which of the items' words each of those documents holds, as hashes: a collision can only keep a candidate
+    held = index.select("term", "doc_id").join(hint(terms), "term", "left_semi").join(near.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.xxhash64("term")).alias("held"))
+    body = F.slice("words", F.col("skip") + 1, F.size("words"))
+    wanted = items.select("item_id", F.array_distinct(F.transform(body, lambda t: F.xxhash64(t))).alias("wanted"), F.floor((1 - keep) * (F.size("words") - F.col("skip")) + 1e-9).alias("lost"))
+    whole = near.join(hint(wanted), "item_id").join(held, "doc_id").where(F.size(F.array_intersect("wanted", "held")) >= F.size("wanted") - F.col("lost")).select("doc_id", "item_id")
+    lined, copied = materialize(lined, "lined"), materialize(whole, "copied")
+    # only documents with candidates and only words of items: then each candidate's lists
+    words = index.select("term", "doc_id", "pos").join(hint(terms), "term", "left_semi")
+    in_line = words.join(lined, "doc_id").withColumn("ipos", F.col("pos") - F.col("offset")).join(hint(places.select("item_id", "term", "ipos")), ["item_id", "term", "ipos"])
+    lines = in_line.groupBy("doc_id", "item_id", "offset").agg(F.sort_array(F.collect_list("ipos")).alias("at")).where(F.size("at") >= run)
+    unbroken = F.exists(F.sequence(F.lit(0), F.size("at") - run), lambda i: F.get("at", i + (run - 1)) - F.get("at", i) == run - 1)
+    passages = lines.where(unbroken).select("doc_id", "item_id").distinct()
+    listed = words.join(copied, "doc_id").join(hint(places.where("ipos >= skip")), ["item_id", "term"])
+    lists = listed.groupBy("doc_id", "item_id", "size", "skip").agg(F.collect_list(F.struct("ipos", F.col("pos").alias("dpos"))).alias("p")).select("doc_id", "item_id", "size", "skip", "p.ipos", "p.dpos")
+    copies = lists.mapInArrow(_verify(keep, slack), "doc_id bigint, item_id bigint")
+    return passages.withColumn("how", F.lit("passage")).unionByName(copies.withColumn("how", F.lit("copy")))
