@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import distinctive, leakage, packing, residue, sentences
+from lavra.llm import canonical, distinctive, leakage, packing, residue, sentences
 from lavra.session import materialize, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,21 @@ def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Fields by sign, shared terms and repetition."""
     told = residue.evidence(table(spark, d, "catalog_sources"))
     return told.groupBy("campo", "sign", (F.col("shared") > 0).alias("names_itself"), (F.col("same") >= residue.DUPLICATED).alias("duplicated")).agg(F.count("*").alias("fields"))
+
+
+# ---------------------------------------------------------------- problem 3
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, entries = table(spark, d, "distribuicao_d_sup"), table(spark, d, "ref_entries")
+    resolved = materialize(canonical.resolve(canonical.distinct_values(rows, canonical.FIELDS, entries), entries), "resolved")
+    return canonical.map_cells(rows, resolved, "dist_id", canonical.FIELDS)
+
+
+@query("p3_unmatched")
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that name no entry, with how often each occurs."""
+    rows, entries = table(spark, d, "distribuicao_d_sup"), table(spark, d, "ref_entries")
+    values = canonical.distinct_values(rows, canonical.FIELDS, entries)
+    resolved = materialize(canonical.resolve(values, entries), "resolved")
+    cells = rows.select(*canonical.FIELDS).unpivot([], list(canonical.FIELDS), "campo", "value").groupBy("campo", "value").agg(F.count("*").alias("rows"))
+    return cells.join(resolved.where("ref_id = 0"), ["campo", "value"]).select("campo", "value", "rows")
