@@ -116,9 +116,14 @@ def mask(df: DataFrame, rules: dict[str, Rule], codes: DataFrame | None = None,
     simple: dict[str, Callable[[str], Column]] = {
         "manter": F.col,
         "texto_livre": lambda c: text_hash(F.col(c)),
-        "valor": lambda c: noisy_value(F.col(c), F.col(row_key), c, noise, scale, seed),
+        "valor": lambda c: _value(c),
         "data": lambda c: shifted_date(F.col(c), days, kinds[c]),
     }
+
+    def _value(c: str) -> Column:
+        moved = noisy_value(F.col(c), F.col(row_key), c, noise, scale, seed)
+        return F.coalesce(moved.cast("string"), F.col(c)) if isinstance(kinds[c], T.StringType) else moved
+
     out, plain = df, {}
     for c, rule in rules.items():
         if c not in kinds:
