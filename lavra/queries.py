@@ -61,9 +61,9 @@ form as (select c.load_id, c.column_name, avg(case when f.pattern is not null an
 pairs as (select distinct load_id, previous_load_id from catalog_loads where previous_load_id is not null),
 cat as (select load_id, column_name, v, count(*) as n from cells join f using (column_name) where kind = 'category' and v is not null group by all),
 tot as (select load_id, column_name, sum(n) as t from cat group by all),
-both as (select p.load_id, c.column_name, c.v, c.n / t.t as a, 0.0 as b from pairs p join cat c on c.load_id = p.load_id join tot t on t.load_id = c.load_id and t.column_name = c.column_name where t.t >= 50
+sides as (select p.load_id, c.column_name, c.v, c.n / t.t as a, 0.0 as b from pairs p join cat c on c.load_id = p.load_id join tot t on t.load_id = c.load_id and t.column_name = c.column_name where t.t >= 50
   union all select p.load_id, c.column_name, c.v, 0.0, c.n / t.t from pairs p join cat c on c.load_id = p.previous_load_id join tot t on t.load_id = c.load_id and t.column_name = c.column_name where t.t >= 50),
-tv as (select load_id, column_name, sum(abs(a - b)) / 2 as d, max(sa) as sa, max(sb) as sb from (select load_id, column_name, v, sum(a) as a, sum(b) as b, max(case when a > 0 then 1 else 0 end) as sa, max(case when b > 0 then 1 else 0 end) as sb from both group by all) group by 1, 2)
+tv as (select load_id, column_name, sum(abs(a - b)) / 2 as d, max(sa) as sa, max(sb) as sb from (select load_id, column_name, v, sum(a) as a, sum(b) as b, max(case when a > 0 then 1 else 0 end) as sa, max(case when b > 0 then 1 else 0 end) as sb from sides group by all) group by 1, 2)
 select l.load_id, '*' as column_name, 'row_count' as finding from catalog_loads l left join (select load_id, max(n) as n from prof group by 1) p using (load_id) where l.row_count <> coalesce(p.n, 0)
 union select l.load_id, '*', 'column_count' from catalog_loads l left join (select load_id, count(*) filter (where m > 0) as k from prof group by 1) p using (load_id) where l.column_count <> coalesce(p.k, 0)
 union select d.load_id, d.column_name, 'null_rate' from catalog_columns d join rates r using (load_id, column_name) where round(abs(d.null_rate - r.nulls), 6) > 0.02
