@@ -105,14 +105,19 @@ def _payload(entry: object, drop: frozenset | set = CHILDREN) -> str:
 def visit(record_id: int | None, document: dict) -> Iterator[tuple]:
     """Depth-first rows of one document, without is_first."""
 
-    def columns(part: object, parent: str, source: str, sheet: str, prefix: str) -> Iterator[tuple]:
-        for n, (name, entry) in enumerate(entries(part)):
-            if entry is None:
-                continue
-            pk, item = f"{parent}/c{n}", f"{prefix}{name}"
-            yield "column", record_id, pk, parent, n, source, sheet, item, _payload(entry)
-            if isinstance(entry, dict):
-                yield from columns(entry.get("fields"), pk, source, sheet, item + "/")
+    def columns(part: object, parent: str, source: str, sheet: str) -> Iterator[tuple]:
+        # an explicit stack, so that no depth of nesting is too deep
+        stack = [(parent, "", enumerate(entries(part)))]
+        while stack:
+            above, prefix, rest = stack[-1]
+            n, (name, entry) = next(rest, (-1, ("", None)))
+            if n < 0:
+                stack.pop()
+            elif entry is not None:
+                pk, item = f"{above}/c{n}", f"{prefix}{name}"
+                yield "column", record_id, pk, above, n, source, sheet, item, _payload(entry)
+                if isinstance(entry, dict) and entry.get("fields") is not None:
+                    stack.append((pk, item + "/", enumerate(entries(entry["fields"]))))
 
     for n, (kind, key, entry) in enumerate(_sources(document.get("sources"))):
         if entry is None:
@@ -121,19 +126,19 @@ def visit(record_id: int | None, document: dict) -> Iterator[tuple]:
         yield "source", record_id, pk, str(record_id), n, source, "", "", _payload(entry)
         if not isinstance(entry, dict):
             continue
-        yield from columns(entry.get("columns"), pk + "/t", source, "", "")
+        yield from columns(entry.get("columns"), pk + "/t", source, "")
         response = entry.get("response_schema")
         if isinstance(response, dict):
-            yield from columns(response.get("result_object_fields"), pk + "/r", source, "", "")
-        yield from columns(entry.get("fields"), pk + "/d", source, "", "")
+            yield from columns(response.get("result_object_fields"), pk + "/r", source, "")
+        yield from columns(entry.get("fields"), pk + "/d", source, "")
         for m, (name, sheet) in enumerate(entries(entry.get("sheets"))):
             if sheet is None:
                 continue
             sheet_pk = f"{pk}/h{m}"
             yield "sheet", record_id, sheet_pk, pk, m, source, name, "", _payload(sheet)
             if isinstance(sheet, dict):
-                yield from columns(sheet.get("columns"), sheet_pk, source, name, "")
-                yield from columns(sheet.get("fields"), sheet_pk + "/d", source, name, "")
+                yield from columns(sheet.get("columns"), sheet_pk, source, name)
+                yield from columns(sheet.get("fields"), sheet_pk + "/d", source, name)
         keys = entry.get("foreign_keys")
         for m, fk in enumerate(keys if isinstance(keys, list) else [keys]):
             if isinstance(fk, dict) and fk:

@@ -44,7 +44,7 @@ def profile(data: DataFrame, formats: DataFrame) -> DataFrame:
     formats: column_name, kind, pattern, min_value, max_value; one row for each column, so its size is that of a schema.
     """
     rules = formats.select("column_name", "kind", "pattern", "min_value", "max_value").collect()
-    columns = [r["column_name"] for r in rules]
+    columns = [r["column_name"] for r in rules] or ["load_id"]
     groups = cells(data, columns).groupBy("load_id", "column_name", "value").agg(F.count("*").alias("n"))
     ruled = groups.join(F.broadcast(formats.select("column_name", "kind", "pattern", "min_value", "max_value")), "column_name")
     value = F.expr("try_cast(value as double)")
