@@ -75,7 +75,7 @@ def _anchor_rows(run: int, extra: int, keep: float):
 
 
 def _chain(pairs: list[tuple[int, int]], least: int, span: int) -> int:
-    """Longest in-order chain of item words within span document words; 0 where no window can hold least of them."""
+    """Longest in-order chain of item words within span document words, as far as least; 0 where no window can hold least of them."""
     pairs = sorted(pairs, key=lambda p: (p[1], -p[0]))
     best, lo, distinct = 0, 0, Counter()
     starts: list[tuple[int, int]] = []
@@ -100,6 +100,8 @@ def _chain(pairs: list[tuple[int, int]], least: int, span: int) -> int:
             else:
                 tails[at] = i
         best = max(best, len(tails))
+        if best >= least:
+            break
     return best
 
 

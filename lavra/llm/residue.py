@@ -78,9 +78,10 @@ STRONG = [
     rf"\b(?:requires?|needs?|without|enable|turn on|precisa de|precisam de|required|allow|activate)\b[^.!?]{{0,30}}\b(?:{SCRIPT}|client-side)\b", rf"\b{SCRIPT} (?:is|are|must be|e|sao|esta) (?:required|enabled|disabled|needed|necessari[oa]s?|desativad[oa]|obrigatori[oa]s?)\b", r"\bnoscript\b",
     r"\bexecucao de (?:scripts?|js|javascript)\b", r"\b(?:scripts|cookies)\b[^.!?]{0,20}\bhabilitad[oa]s\b", r"\bclient-side scripts?\b",
 ]
-#: Whole fields that say nothing.
-NON_VALUES = r"(?:n\s*/\s*[adi]|n\.\s*[ad]\.?|na|nd|null|none|nan|nil|undefined|void|vazio|nenhum[oa]?|sem (?:informacao|dados|texto|conteudo)|nao (?:informad[oa]|disponivel|se aplica|ha|consta)|desconhecid[oa]|pendente|todo|manual|x+|z+|\?+|-+|\.+|_+|\*+|#+|0+|1234?5?6?|0|s/n|s/d|tbc|tba|teste|test|texto|exemplo|foo|bar|xyz|abc)"
-WHOLE = rf"^[\W_]*{NON_VALUES}(?:[\W_]+{NON_VALUES})*[\W_]*$"
+#: Whole fields that say nothing, as words without the marks between them.
+NON_VALUES = r"(?:n [adi]|na|nd|null|none|nan|nil|undefined|void|vazio|nenhum[oa]?|sem (?:informacao|dados|texto|conteudo)|nao (?:informad[oa]|disponivel|se aplica|ha|consta)|desconhecid[oa]|pendente|todo|manual|x+|z+|0+|1234?5?6?|s n|s d|tbc|tba|teste|test|texto|exemplo|foo|bar|xyz|abc)"
+WHOLE = rf"{NON_VALUES}(?: {NON_VALUES}){{0,8}}$"
+WHOLE_LENGTH = 120
 LITERAL = r"(?<![\w\-/])(?:null|none|undefined|nan|n/a)(?![\w\-/])"
 #: Signs that need evidence from slug, title, host and length.
 WEAK = [r"\bpreencher\b", r"\bprovisori[oa]\b", rf"\b{KEYS}\b", rf"\b(?:{LOREM})\b", r"\bjavascript\b", r"\bnavegador\b", r"\bnot (?:available|found)\b", r"\berro\b", r"\berror\b", rf"^\W*{DUMMY}\W*$", r"^[\W\d_]+$", r"\bindisponivel\b", r"\bem breve\b", r"\bcoming soon\b", r"\bpendente\b", r"^\W*a completar\b"]
@@ -91,6 +92,7 @@ _LITERAL = re.compile(LITERAL)
 _WEAK = [re.compile(p) for p in WEAK]
 _TODO = re.compile(r"(?<![A-Za-z])TODO(?![A-Za-z])|(?<![A-Za-z])N/A(?![A-Za-z])")
 _TOKEN = re.compile(r"[a-z]{4,}")
+_MARKS = re.compile(r"[\W_]+")
 
 
 def near(a: str, b: str, most: int) -> bool:
@@ -138,16 +140,22 @@ def fold_text(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+def says_nothing(folded: str) -> bool:
+    """Whether a folded field is marks only, or nothing but words that stand for no value."""
+    plain = _MARKS.sub(" ", folded).strip()
+    return not plain or len(plain) <= WHOLE_LENGTH and _WHOLE.match(plain) is not None
+
+
 def detect(text: str, cache: dict[str, str] | None = None, known: frozenset = frozenset(KEYWORDS)) -> int:
     """2 for a strong sign, 1 for a weak one, else 0."""
     folded = fold_text(text)
     if not folded:
         return 0
-    if _WHOLE.match(folded) or _TODO.search(text) or _LITERAL.search(folded) or any(p.search(folded) for p in _STRONG):
+    if says_nothing(folded) or _TODO.search(text) or _LITERAL.search(folded) or any(p.search(folded) for p in _STRONG):
         return 2
     cache = {} if cache is None else cache
     righted = _TOKEN.sub(lambda m: _right(cache, known, m.group()), folded)
-    if righted != folded and (_WHOLE.match(righted) or any(p.search(righted) for p in _STRONG)):
+    if righted != folded and (says_nothing(righted) or any(p.search(righted) for p in _STRONG)):
         return 2
     return int(any(p.search(righted) for p in _WEAK))
 

@@ -100,6 +100,7 @@ def _depths(text: str, a: int, b: int) -> list[int]:
     """For every position, how many matched quotations and brackets are open before it; unmatched ones don't count."""
     change = [0] * (b - a + 2)
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}
     for i in range(a, b):
         ch = text[i]
         if ch == '"':
@@ -110,16 +111,16 @@ def _depths(text: str, a: int, b: int) -> list[int]:
                 change[i - a + 1] -= 1
             elif not after.isspace():
                 stack.append(('"', i))
-        elif stack and ch == stack[-1][0]:
-            _, at = stack.pop()
-            change[at - a + 1] += 1
-            change[i - a + 1] -= 1
-        elif ch in PAIRS:
+        elif ch in PAIRS and not (stack and ch == stack[-1][0]):
             stack.append((PAIRS[ch], i))
-        elif ch in "»”)）」』]】" and any(x == ch for x, _ in stack):
+            waiting[PAIRS[ch]] = waiting.get(PAIRS[ch], 0) + 1
+        elif waiting.get(ch):
             while stack[-1][0] != ch:
-                stack.pop()
+                lost, _ = stack.pop()
+                if lost != '"':
+                    waiting[lost] -= 1
             _, at = stack.pop()
+            waiting[ch] -= 1
             change[at - a + 1] += 1
             change[i - a + 1] -= 1
     out, now = [], 0
@@ -143,8 +144,8 @@ def closing(text: str, a: int, m: re.Match) -> float:
         return 3.0
     token = back.group()
     low = token.lower().lstrip("'’")
-    before = text[a : back.start()].rstrip(" \t\r\n")
-    after = text[m.end() :][:1] if m.end() < len(text) else ""
+    before = text[max(a, back.start() - 64) : back.start()].rstrip(" \t\r\n")
+    after = text[m.end() : m.end() + 1]
     nxt = _next_word(text, m.end(), len(text))
     if low in NUMBERED and not (nxt[:1].isdigit()):
         prior = WORD.findall(before[-24:])
