@@ -155,7 +155,7 @@ def read_any(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------- result sets (SRC-20..22)
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:
     """(model, result fields) of every results_<model>.json that fits the pattern; of equal ids in a file the last stays."""
-    raw = spark.read.option("multiLine", True).json(pattern).withColumn("model", F.regexp_extract(F.input_file_name(), r"results_(.+)\.json$", 1))
+    raw = spark.read.option("multiLine", True).json(pattern).withColumn("model", F.regexp_extract(F.input_file_name(), r"(?:^|/)results_([^/]+)\.json$", 1))
     rows = raw.select("model", F.posexplode("all_results").alias("at", "r"))
     last = rows.groupBy("model", F.col("r.id").alias("id")).agg(F.max_by("r", "at").alias("r"))
     return last.select("model", "r.*")
