@@ -35,7 +35,7 @@ def fold(c: Column) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\u00A0]+", " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -45,7 +45,7 @@ def normalize_text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
 
 
 def words(c: Column) -> Column:

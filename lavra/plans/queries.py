@@ -185,7 +185,7 @@ def mask_counter(spark: SparkSession, d: str) -> DataFrame:
     return masking.mask(orders, rules, materialize(masking.dictionary([(orders, "o_orderkey", rules)]), "codes"))
 
 
-@query("mask_text", "select load_id, codigo, case when obs is null then null when regexp_replace(obs, '^\\s+|\\s+$', '', 'g') = '' then obs else concat('TXT_', upper(substr(md5(regexp_replace(obs, '^\\s+|\\s+$', '', 'g')), 1, 8))) end as obs from materiais")
+@query("mask_text", "select load_id, codigo, case when obs is null then null when regexp_replace(obs, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g') = '' then obs else concat('TXT_', upper(substr(md5(regexp_replace(obs, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')), 1, 8))) end as obs from materiais")
 def mask_text(spark: SparkSession, d: str) -> DataFrame:
     return masking.mask(table(spark, d, "materiais").select("load_id", "codigo", "obs"), {"obs": "texto_livre"})
 
@@ -221,7 +221,7 @@ def distinct_before_after(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ================================================================ dictionary mapping
-_NORM = "lower(strip_accents(regexp_replace(regexp_replace(lower({c}), '[\\s ]+', ' ', 'g'), '^ | $', '', 'g')))"
+_NORM = "lower(strip_accents(regexp_replace(regexp_replace(lower({c}), '[\\s\\x{{00A0}}]+', ' ', 'g'), '^ | $', '', 'g')))"
 
 
 def _norm_sql(c: str) -> str:
@@ -239,9 +239,9 @@ def _subsystems(spark: SparkSession, d: str) -> DataFrame:
     return numbered.select("key", X.zero_padded_code("SUB", F.col("ord"), 2).alias("code"), "ord")
 
 
-_CELLS = "(select subsistema as value, min(dist_id) as first_at, count(*) as occurrences from distribuicao_d_sup where subsistema is not null and regexp_replace(subsistema, '^\\s+|\\s+$', '', 'g') <> '' group by 1)"
+_CELLS = "(select subsistema as value, min(dist_id) as first_at, count(*) as occurrences from distribuicao_d_sup where subsistema is not null and regexp_replace(subsistema, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g') <> '' group by 1)"
 _EXACT = f"""(select v.value, v.first_at, v.occurrences, coalesce(a.code, b.code) as code, case when a.code is not null then 'exact' when b.code is not null then 'normalized' else 'unmapped' end as stage
-  from {_CELLS} v left join {_REFS} a on regexp_replace(v.value, '^\\s+|\\s+$', '', 'g') = a.key left join {_REFS} b on {_norm_sql('v.value')} = b.norm)"""
+  from {_CELLS} v left join {_REFS} a on regexp_replace(v.value, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') = a.key left join {_REFS} b on {_norm_sql('v.value')} = b.norm)"""
 
 
 @query("map_exact", f"select value, cast(first_at as bigint) as first_at, cast(occurrences as bigint) as occurrences, code, stage from {_EXACT}")
@@ -261,7 +261,7 @@ def map_unmapped(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("map_contexts", f"""select value, string_agg(concat(ctx, ' (', n::varchar, ')'), ' | ' order by n desc, ctx) as contexts from (
-  select subsistema as value, case when contrato is null or regexp_replace(contrato, '^\\s+|\\s+$', '', 'g') = '' then '[vazio]' else regexp_replace(contrato, '^\\s+|\\s+$', '', 'g') end as ctx, count(*) as n
+  select subsistema as value, case when contrato is null or regexp_replace(contrato, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') = '' then '[vazio]' else regexp_replace(contrato, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') end as ctx, count(*) as n
   from distribuicao_d_sup where subsistema in (select value from {_EXACT} where stage = 'unmapped') group by 1, 2) group by value""")
 def map_contexts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "distribuicao_d_sup")
@@ -271,7 +271,7 @@ def map_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("map_generated", f"""select value, concat('CTR', case when length(n::varchar) >= 3 then n::varchar else lpad(n::varchar, 3, '0') end, regexp_extract(trim(first_value), '(-\\d{{2}})$', 1)) as code from (
   select value, norm, dense_rank() over (order by first_norm, norm) as n, first_value(value) over (partition by norm order by first_at, value) as first_value from (
-  select value, norm, first_at, min(first_at) over (partition by norm) as first_norm from (select contrato as value, {_norm_sql('contrato')} as norm, min(dist_id) as first_at from distribuicao_d_sup where contrato is not null and regexp_replace(contrato, '^\\s+|\\s+$', '', 'g') <> '' group by 1, 2)))""")
+  select value, norm, first_at, min(first_at) over (partition by norm) as first_norm from (select contrato as value, {_norm_sql('contrato')} as norm, min(dist_id) as first_at from distribuicao_d_sup where contrato is not null and regexp_replace(contrato, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') <> '' group by 1, 2)))""")
 def map_generated(spark: SparkSession, d: str) -> DataFrame:
     empty = spark.createDataFrame([], "key string, code string, ord bigint")
     return mapping.cascade(table(spark, d, "distribuicao_d_sup"), "contrato", "dist_id", empty, None, ("CTR", 3, True)).select("value", "code")
