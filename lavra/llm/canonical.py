@@ -38,11 +38,11 @@ REMARKS = [
     (re.compile(r"\(\s*[a-z]{1,10}\s*\)?"), " "),
     (re.compile(r">+|<+|\.{3,}|…"), " "),
     (re.compile(r"\b\d+\s*un\b\.?"), " "),
-    (re.compile(r"(?:^|(?<=[\s,\-]))(?:ref|cx|kit|obs|cod|un)\s*[.:]+(?=\s|$)|(?:^|(?<=[\s,]))kit(?=\s|$)|^kit"), " "),
+    (re.compile(r"(?:^|(?<=[\s,\-]))(?:ref|cx)\s*[.:]+|(?:^|(?<=[\s,\-]))(?:kit|obs|cod|un)\s*[.:]+(?=\s|$)|(?:^|(?<=[\s,]))kit(?=\s|$)|^kit"), " "),
     (re.compile(r"[-/,]?\s*\bl+o*t+e*\s*\d+\b"), " "),
     (re.compile(r"[/\-]\s*n\.?f\.?\s*\d+|^\d+\s*,(?=.*/\s*nf\s*$)|/\s*nf\s*$"), " "),
     (re.compile(r"\bc\s*/\s*m[a-z]{2,8}\b"), " "),
-    (re.compile(r"[-,]\s*u+r+g+[a-z]{0,8}\b"), " "),
+    (re.compile(r"[-,]\s*u+r+g+[a-z]{0,8}\b|^u+r+g+[a-z]{0,6}\.?\s*,(?=.*-\s*$)"), " "),
 ]
 CODE = re.compile(r"(?<![a-z0-9])([a-z]{2})\s?[-/ ]?\s?(\d{2,3})(?![a-z0-9])|([a-z]{2})\s?[-/]\s?(\d{2,3})(?![a-z0-9])")
 NUMBER = re.compile(r"(?<![a-z0-9])(\d+)\s*(?:o\b\.?|a\b\.?|°|o(?=[a-z]))?")
@@ -275,7 +275,9 @@ class Mapper:
         whole, differs, e = scored[0]
         allowed = max(1.0, (0.22 if p.code or self.numbered else 0.18) * len(v)) if len(v) > 4 else (0.0 if len(v) < 4 else 1.0)
         known = bool(p.code) or self.numbered
-        if differs > allowed + (1.0 if known and len(v) > 8 else 0.0):
+        if self.numbered and len(v) > 8:
+            allowed = 1.0 + 0.14 * len(v)
+        if differs > allowed + (1.0 if p.code and len(v) > 8 else 0.0):
             return 0
         if whole > (2.2 if not known else 4.0) + 0.3 * len(v) ** 0.5 + differs:
             return 0
@@ -304,7 +306,7 @@ class Mapper:
 def distinct_values(rows: DataFrame, fields: tuple[str, ...], entries: DataFrame) -> DataFrame:
     """(campo, value) of all cells in question, each once."""
     cells = rows.select(*[F.col(c).cast("string").alias(c) for c in fields]).unpivot([], list(fields), "campo", "value")
-    blank = F.length(F.trim(F.regexp_replace("value", r"[\s ]+", " "))) == 0
+    blank = F.length(F.trim(F.regexp_replace("value", r"[\s\u00A0]+", " "))) == 0
     canonical = entries.select("campo", F.col("canonical").alias("value")).distinct()
     return cells.where(F.col("value").isNotNull() & ~blank).groupBy("campo", "value").agg(F.count("*").alias("n")).join(canonical, ["campo", "value"], "left_anti").select("campo", "value")
 

@@ -180,7 +180,7 @@ def evidence(sources: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
         F.col("source_uid").cast("bigint").alias("source_uid"), F.coalesce("source_type", F.lit("")).alias("host"), F.array_distinct(F.filter(slug, lambda t: (F.length(t) > 3) & ~t.rlike(r"^\d+$"))).alias("slug"),
         *[F.col(c).cast("string").alias(c) for c in fields if c in sources.columns and kept],
     ).unpivot(["source_uid", "host", "slug"], [c for c in fields if c in sources.columns], "campo", "body")
-    long = long.where(F.length(F.trim(F.regexp_replace("body", r"[\s ]+", " "))) > 0)
+    long = long.where(F.length(F.trim(F.regexp_replace("body", r"[\s\u00A0]+", " "))) > 0)
     terms = F.array_distinct(F.filter(words(F.col("body")), lambda t: F.length(t) > 3))
     told = long.select("source_uid", "campo", "host", "slug", "body", collapse_spaces(fold(F.col("body"))).alias("same_body"), terms.alias("body_terms"))
     told = told.withColumn("shared", F.size(F.array_intersect("slug", "body_terms"))).withColumn("terms", F.size("body_terms")).drop("slug", "body_terms")

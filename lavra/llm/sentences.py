@@ -60,7 +60,7 @@ OPENERS = "\"“«‘'‹([{「『（【〈《〔｢„¿¡—–-"
 PAIRS = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", "‹": "›", "{": "}"}
 CANDIDATE = re.compile(r"(?:[!?。！？｡؟۔।॥።։…․.‼⁇⁈⁉]+|;)[\"”»’'›)\]}」』）】〉》〕｣“]*")
 THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
-BLANK = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:(?:\r\n|\r|\n)[^\S\r\n]*)+")
+BLANK = re.compile(r"(?>\r\n|\r|\n)[^\S\r\n]*(?:(?>\r\n|\r|\n)[^\S\r\n]*)+")
 LINE = re.compile(r"[^\r\n]+")
 MARKER = re.compile(r"\s*(?:[-*•‣◦▪–—·]\s+|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z]\)\s+|\(?[ivxIVX]{1,4}[.)]\s+)\S")
 TOKEN_BACK = re.compile(r"[^\s\"“”«»()\[\]（）「」,;:!?¿¡]+$")
