@@ -331,7 +331,7 @@ def resolve(values: DataFrame, entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=["campo", "value", "ref_id"])
 
     tasks = max(2, values.sparkSession.sparkContext.defaultParallelism) * 2
-    return values.repartition(tasks, "campo", "value").mapInArrow(run, "campo string, value string, ref_id bigint")
+    return values.repartition(tasks, F.xxhash64("campo", "value")).mapInArrow(run, "campo string, value string, ref_id bigint")
 
 
 def map_cells(rows: DataFrame, resolved: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
