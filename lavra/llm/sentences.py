@@ -62,7 +62,8 @@ CANDIDATE = re.compile(r"(?:[!?。！？｡؟۔।॥።։…․.‼⁇⁈⁉]+|
 THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 BLANK = re.compile(r"(?>\r\n|\r|\n)[^\S\r\n]*(?:(?>\r\n|\r|\n)[^\S\r\n]*)+")
 LINE = re.compile(r"[^\r\n]+")
-MARKER = re.compile(r"\s*(?:[-*•‣◦▪–—·]\s+|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z]\)\s+|\(?[ivxIVX]{1,4}[.)]\s+)\S")
+BULLET = re.compile(r"\s*([-*•‣◦▪–—·])\s+\S")
+NUMBERING = re.compile(r"\s*(?:\(?\d{1,3}[.)]|\(?[a-z]\)|[A-Z]\)|\(?[ivx]{1,4}\)|[IVX]{2,4}[.)])\s+\S")
 TOKEN_BACK = re.compile(r"[^\s\"“”«»()\[\]（）「」,;:!?¿¡]+$")
 WORD = re.compile(r"[^\W\d_]+(?:'|’)?|\d+")
 GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
@@ -86,13 +87,21 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 def pieces(text: str, a: int, b: int) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, whole): list items, which stay whole, and paragraphs of one block."""
+    """(start, end, whole): list items, which stay whole, and paragraphs of one block.
+
+    A list begins with its block, or inside it where two lines running have the same bullet; a line that a break in a
+    paragraph merely makes look numbered is none.
+    """
+    lines = [(m.start(), m.end()) for m in LINE.finditer(text, a, b)]
+    bullets = [m.group(1) if (m := BULLET.match(text, x, y)) else "" for x, y in lines]
+    marked = [bool(t) or NUMBERING.match(text, x, y) is not None for t, (x, y) in zip(bullets, lines)]
     begin, item = a, False
-    for m in LINE.finditer(text, a, b):
-        if MARKER.match(text, m.start(), m.end()):
-            if m.start() > begin:
-                yield begin, m.start(), item
-            begin, item = m.start(), True
+    for k, (x, _) in enumerate(lines):
+        twin = bullets[k] and k + 1 < len(lines) and bullets[k] == bullets[k + 1]
+        if marked[k] and (k == 0 or item or twin):
+            if x > begin:
+                yield begin, x, item
+            begin, item = x, True
     yield begin, b, item
 
 
