@@ -261,6 +261,8 @@ def opening(text: str, m: re.Match, b: int) -> float:
         return 0.8
     if not ch.isalpha():
         return 0.0
+    if quoted and not ch.isupper():
+        return -9.0  # scripts without case: the sentence goes on after its quotation
     return 2.5 if low in OPENING else 1.0
 
 
