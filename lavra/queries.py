@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,14 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows, documents and children without a parent of every flat table."""
     tables = nested.flatten(table(spark, d, "catalog_raw"))
     parents = tables["source"].select("pk").unionByName(tables["sheet"].select("pk")).unionByName(tables["column"].select("pk"))
-    out = None
+    counted, orphans = [], []
     for tag, t in tables.items():
-        holder = F.regexp_replace("parent_pk", "/[trd]$", "")
-        orphan = t.select(holder.alias("pk")).join(parents, "pk", "left_anti") if tag != "source" else t.limit(0).select("pk")
-        part = t.agg(F.count("*").alias("rows"), F.countDistinct("record_id").alias("documents")).withColumn("tag", F.lit(tag)).crossJoin(orphan.agg(F.count("*").alias("orphans")))
-        out = part if out is None else out.unionByName(part)
-    return out.select("tag", "rows", "documents", "orphans")
+        counted.append(t.select(F.lit(tag).alias("tag"), "record_id", F.lit(0).alias("orphan")))
+        if tag != "source":
+            held = t.select(F.regexp_replace("parent_pk", "/[trd]$", "").alias("pk"))
+            orphans.append(held.join(parents, "pk", "left_anti").select(F.lit(tag).alias("tag"), F.lit(None).cast("bigint").alias("record_id"), F.lit(1).alias("orphan")))
+    rows = reduce(DataFrame.unionByName, counted + orphans)
+    return rows.groupBy("tag").agg(F.sum(1 - F.col("orphan")).alias("rows"), F.countDistinct("record_id").alias("documents"), F.sum("orphan").alias("orphans"))
 
 
 # ---------------------------------------------------------------- problem 2
