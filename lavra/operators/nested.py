@@ -37,6 +37,8 @@ PAYLOADS = {
 }
 #: The three source types with the container below each.
 CONTAINERS = {"sql": "tables", "api": "endpoints", "spreadsheets": "files"}
+#: What describes an entry; an entry of a list with nothing else has no name and is left out.
+ATTRIBUTES = frozenset("type nullable null_rate cardinality description stats fields is_pk min max mean row_count column_count columns sheets foreign_keys data_quality path method filename response_schema business_role when_to_use embedding_hint".split())
 CHILDREN = {"columns", "sheets", "foreign_keys", "fields", "response_schema", "tables", "endpoints", "files"}
 _DECODER = json.JSONDecoder(strict=False)
 
@@ -67,7 +69,8 @@ def entries(part: object, *naming: str) -> Iterator[tuple[str, object]]:
             yield from part.items()
     elif isinstance(part, list):
         for x in part:
-            yield from entries(x, *naming)
+            if not (isinstance(x, dict) and (any(k in x and not isinstance(x[k], str) for k in naming) or x.keys() <= ATTRIBUTES)):
+                yield from entries(x, *naming)
     elif isinstance(part, (str, int, float)) and not isinstance(part, bool):
         yield str(part), {}
 

@@ -39,6 +39,10 @@ def test_repeats_are_marked_and_parents_exist(spark):
     assert all(r.parent_pk[:-2] in parents for r in tables["column"].collect())
 
 
+def test_entries_of_lists_without_a_name():
+    assert list(nested.entries([{"name": None, "type": "x"}, {"type": "int"}, {"a": "int"}, ["b"], 3, None, True])) == [("a", "int"), ("b", {}), ("3", {})]
+
+
 def test_empty_table(spark):
     assert found(spark, []) == set()
 
