@@ -33,7 +33,7 @@ KEYWORDS = tuple(
     "script scripting cookies habilite habilitados ative permita ligue bloqueou desativou executa conteudo execucao noscript enable required requires client turn please cannot could render "
     "requested resource bad gateway unavailable forbidden denied server found internal pagina encontrada existe carregado procura solicitada endereco recurso sessao expirou inatividade token "
     "acesso negado login valido errado requisicoes aguarde minuto verificando timeout tente tarde retry ipsum lorem dolor amet tempor elit magna "
-    "undefined manual fulano todo servidor falha interna open load without site portal unable depois completar explique principais previsto conexao carregar qwerty removido".split()
+    "undefined manual fulano todo servidor falha interna open load without site portal unable depois completar explique principais previsto conexao carregar qwerty removido keyerror typeerror valueerror readtimeout nullpointerexception operationalerror consultar pendente pedido failed refused resumo connection".split()
 )
 _LONG = {}
 for _k in KEYWORDS:
@@ -54,7 +54,7 @@ STRONG = [
     # markers that are not filled in
     r"\[\[[^\[\]]{1,60}\]\]", r"\[(?=[^\[\]]*[a-z]{2})[a-z_][a-z0-9_ \-]{1,40}\]", r"\{\{[^{}]{0,60}\}\}", r"\$\{[^{}]{1,60}\}", r"\{\d+\}", r"\{[a-z_][a-z_ ]{2,40}\}",
     r"<<[^<>]{1,60}>>", r"<[a-z_][a-z0-9_ \-]{2,40}>", r"%%[^%]{1,60}%%", r"__+[a-z][^_]*(?:_[^_]+)*__+", r"#[a-z_][a-z0-9_ \-]{2,40}#", r"@@[a-z_]+@@", r"«\s*" + ACT + r"\b[^»]*»",
-    r"(?:^|\s):[a-z_]{4,}\b", r"%[sd](?![a-z0-9])", r"_{3,}", r"\.{5,}", r"\bnome_d[aeo]_\w+", r"\b[a-z]+_x\b", r"\btbd\b", r"\bfixme\b", r"\btodo\s*:", r"\bxxxx+\b", r"\ba preencher\b", r"\bvai aqui\b",
+    r"(?:^|\s):[a-z_]{4,}\b", r"%[sd](?![a-z0-9])", r"_{3,}", r"\.{4,}", r"\bnome_d[aeo]_\w+", r"\b[a-z]+_x\b", r"\btbd\b", r"\bfixme\b", r"\btodo\s*:", r"x{4,}", r"\ba preencher\b", r"\bvai aqui\b",
     r"\{\s*(?:todo|manual)\s*\}",
     # instructions to fill in
     ACT + r"\b[^.!?]{0,60}\baqui\b", rf"\b{ASK}\b[^.!?]{{0,40}}\b(?:em uma frase|com suas palavras|palavras|neste campo|nesta secao|neste espaco)\b",
@@ -63,7 +63,7 @@ STRONG = [
     r"\ba (?:definir|completar)\b", r"\bem elaboracao\b", r"\bex\.?\s*:\s*(?:consultar|descreva|usar|tabela|fonte|lista)\b", r"\bcom suas palavras\b", r"\b(?:em|numa) uma frase\b",
     r"\binsira entre\b", r"\bpreencher pelo setor\b",
     # filler
-    rf"\b(?:{LOREM})\b(?:\W+\b(?:{LOREM})\b)+", rf"\b{KEYS}\b(?:\W+|$)(?:\b(?:{KEYS}|aaaa+|xxxx+|123|abc)\b|\.\.\.|$)", rf"\b({DUMMY})\b(?:\W+\1\b)+", r"\bfulano de tal\b", r"\babc 123\b", r"\b(?:aaaa+|zzzz+)\b", rf"^\W*{KEYS}\b", r"\bqwerty\b", r"\bblah? blah?\b",
+    rf"\b(?:{LOREM})\b(?:\W+\b(?:{LOREM})\b)+", rf"\b{KEYS}\b(?:\W+|$)(?:\b(?:{KEYS}|aaaa+|xxxx+|123|abc)\b|\.\.\.|$)", rf"\b({DUMMY})\b(?:\W+\1\b)+", r"\bfulano de tal\b", r"\babc 123\b", r"\b(?:aaaa+|zzzz+)\b", rf"^\W*{KEYS}\b", r"\b(?:qwerty?|asdfg?|zxcv|hjkl|sdfg)\b", r"\baaa bbb\b", r"\bblah? blah?\b",
     # errors shown instead of content
     rf"\b(?:http|erro|error|status|codigo)\s*[:#]?\s*#?\s*{CODE}\b(?! em\b| e\b|, \d)", r"\berro (?:ao|de) (?:carregar|abrir|ler|conexao|conectar|consultar|servidor|leitura|acesso|processar|exibir)\b", r"\blimite de (?:chamadas|requisicoes|acessos)\b", r"\b(?:recurso|pagina|conteudo|endereco) (?:removid|expirad|movid)[oa]\b", r"\bgateway invalido\b", r"\b(?:connection|conexao) (?:refused|reset|recusada|perdida)\b",
     rf"(?:^|[\s:#])#?{CODE}\s*[:/,.\-–—]?\s*(?:not found|bad gateway|forbidden|internal|pagina nao|service unavailable|gateway time|acesso negado|too many|unauthorized|access denied|falha|nao encontrad)",
@@ -118,16 +118,13 @@ def _right(cache: dict[str, str], known: frozenset, token: str) -> str:
         return token
     put = cache.get(token)
     if put is None:
-        put = token
-        seen = set()
-        for ch in dict.fromkeys(token[:2]):
-            for k in _LONG.get(ch, ()):
-                if k not in seen and near(token, k, 2 if len(k) >= 8 else 1):
-                    put = k
+        close = []
+        for k in dict.fromkeys(k for ch in dict.fromkeys(token[:2]) for k in _LONG.get(ch, ())):
+            for most in (1, 2) if len(k) >= 8 else (1,):
+                if near(token, k, most):
+                    close.append((most, -len(k), k))
                     break
-                seen.add(k)
-            if put != token:
-                break
+        put = min(close)[2] if close else token
         if len(cache) < 200_000:
             cache[token] = put
     return put
@@ -155,7 +152,7 @@ def detect(text: str, cache: dict[str, str] | None = None, known: frozenset = fr
         return 2
     cache = {} if cache is None else cache
     righted = _TOKEN.sub(lambda m: _right(cache, known, m.group()), folded)
-    if righted != folded and (says_nothing(righted) or any(p.search(righted) for p in _STRONG)):
+    if righted != folded and (says_nothing(righted) or _LITERAL.search(righted) or any(p.search(righted) for p in _STRONG)):
         return 2
     return int(any(p.search(righted) for p in _WEAK))
 
