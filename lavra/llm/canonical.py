@@ -283,6 +283,8 @@ class Mapper:
             return 0
         if len(scored) > 1 and scored[1][0] - whole < 0.25:
             return 0
+        if not known and whole > 2.5 and all(way[0] != e.letters[0] for way in orders if way):
+            return 0
         if not known and whole - differs > 0.55 * len(v) ** 0.75 + 1.0:
             return 0
         return e.ref_id
