@@ -132,9 +132,12 @@ def search(index: DataFrame, items: DataFrame, run: int = 12, keep: float = 0.75
     terms = places.select("term").distinct()
     hint = F.broadcast if places.count() <= BROADCAST_ROWS else (lambda x: x)
 
+    # one pass over the index counts words and pairs alike
+    paired = materialize(index.join(hint(terms), "term").groupBy("term", "next").agg(F.count("*").alias("n")), "pairs")
+
     def cost(keys: list[str], name: str) -> DataFrame:
         in_items = places.groupBy(*keys).agg(F.countDistinct("item_id").alias("items"))
-        found = index.join(hint(in_items), keys).groupBy(*keys, "items").agg(F.count("*").alias("n"))
+        found = paired.groupBy(*keys).agg(F.sum("n").alias("n")).join(hint(in_items), keys)
         return found.select(*keys, (F.col("n") * F.col("items")).alias(name))
 
     known = F.struct("term", "next", "ipos", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pair_n", F.lit(0)).alias("pair_n"))
@@ -145,15 +148,16 @@ def search(index: DataFrame, items: DataFrame, run: int = 12, keep: float = 0.75
     rare = anchors.where("is_rare").select("item_id", "term", "ipos")
     near = index.select("term", "doc_id").join(hint(rare), "term").groupBy("doc_id", "item_id", "ipos").agg(F.count("*").alias("n"))
     near = near.groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where(F.col("n") >= extra).select("doc_id", "item_id")
-    near = materialize(near, "near")
-    # which of the items' words each of those documents holds, as hashes: a collision can only keep a candidate
-    held = index.select("term", "doc_id").join(hint(terms), "term", "left_semi").join(near.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.xxhash64("term")).alias("held"))
+    near, lined = materialize(near, "near"), materialize(lined, "lined")
+    # the items' words in the documents met so far
+    met = lined.select("doc_id").unionByName(near.select("doc_id")).distinct()
+    words = materialize(index.select("term", "doc_id", "pos").join(hint(terms), "term", "left_semi").join(met, "doc_id", "left_semi"), "words")
+    # which of them each document holds, as hashes: a collision can only keep a candidate
+    held = words.join(near.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.xxhash64("term")).alias("held"))
     body = F.slice("words", F.col("skip") + 1, F.size("words"))
     wanted = items.select("item_id", F.array_distinct(F.transform(body, lambda t: F.xxhash64(t))).alias("wanted"), F.floor((1 - keep) * (F.size("words") - F.col("skip")) + 1e-9).alias("lost"))
     whole = near.join(hint(wanted), "item_id").join(held, "doc_id").where(F.size(F.array_intersect("wanted", "held")) >= F.size("wanted") - F.col("lost")).select("doc_id", "item_id")
-    lined, copied = materialize(lined, "lined"), materialize(whole, "copied")
-    # only documents with candidates and only words of items: then each candidate's lists
-    words = index.select("term", "doc_id", "pos").join(hint(terms), "term", "left_semi")
+    copied = materialize(whole, "copied")
     in_line = words.join(lined, "doc_id").withColumn("ipos", F.col("pos") - F.col("offset")).join(hint(places.select("item_id", "term", "ipos")), ["item_id", "term", "ipos"])
     lines = in_line.groupBy("doc_id", "item_id", "offset").agg(F.sort_array(F.collect_list("ipos")).alias("at")).where(F.size("at") >= run)
     unbroken = F.exists(F.sequence(F.lit(0), F.size("at") - run), lambda i: F.get("at", i + (run - 1)) - F.get("at", i) == run - 1)
