@@ -20,11 +20,11 @@ them, otherwise by a shuffled join; candidates are counted by (document, item),
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +66,7 @@ def _anchor_rows(run: int, extra: int, keep: float):
                 for i in range(len(seq) - run + 1):
                     pairs.add(min((p["pair_n"], p["ipos"]) for p in seq[i : i + run - 1])[1])
                 body = [(p["n"], p["ipos"]) for p in seq if p["ipos"] >= skip]
-                few = {p for _, p in sorted(body)[: len(body) - int(np.ceil(keep * len(body) - 1e-9)) + extra]}
+                few = {p for _, p in sorted(body)[: len(body) - math.ceil(keep * len(body) - 1e-9) + extra]}
                 out += [(item, p["term"], p["next"], p["ipos"], p["ipos"] in pairs, p["ipos"] in few) for p in seq if p["ipos"] in pairs or p["ipos"] in few]
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()))], ["item_id", "term", "next", "ipos", "is_pair", "is_rare"])
@@ -111,7 +111,7 @@ def _verify(keep: float, slack: float):
             rows = []
             for doc, item, size, skip, ipos, dpos in zip(*(c.to_pylist() for c in batch.columns)):
                 body = size - skip
-                least = max(1, int(np.ceil(keep * body - 1e-9)))
+                least = max(1, math.ceil(keep * body - 1e-9))
                 if _chain(list(zip(ipos, dpos)), least, int(slack * body + 1e-9)) >= least:
                     rows.append((doc, item))
             cols = list(zip(*rows)) if rows else [[], []]
