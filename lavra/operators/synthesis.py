@@ -205,3 +205,32 @@ def synthesize_database(tables: dict[str, DataFrame], primary: dict[str, str], f
             out = out.withColumn("__u", u).withColumn(column, (F.floor(place * share * n) + 1).cast(df.schema[column].dataType)).drop("__u")
         made[t] = out.select(*[c for c in df.columns if c in out.columns])
     return made, dropped
+
+
+def metadata(tables: dict[str, DataFrame], pk: list[tuple[str, str]], fk: list[tuple[str, str, str, str]]) -> dict:
+    """Column kinds, keys and relationships of a database, with how many relationships hold and how many were left out (SYN-03, JN-14).
+
+    pk: (table, column), of several for a table the last counts. fk: (child, column, parent, key). A relationship is left out
+    if an end is missing or it would close a cycle.
+    """
+    kinds = {"string": "categorical", "boolean": "boolean", "date": "datetime", "timestamp": "datetime", "timestamp_ntz": "datetime"}
+    out = {"tables": {t: {"columns": {f.name: kinds.get(f.dataType.simpleString(), "numerical") for f in df.schema.fields}} for t, df in tables.items()}}
+    for t, c in pk:
+        if t in tables and c in tables[t].columns:
+            out["tables"][t]["primary_key"] = c
+            out["tables"][t]["columns"][c] = "id"
+    usable = [e for e in fk if e[0] in tables and e[2] in tables and e[1] in tables[e[0]].columns and e[3] in tables[e[2]].columns]
+    dropped = set(topological(list(tables), [(c, p) for c, _, p, _ in usable])[1])
+    kept = [e for e in usable if (e[0], e[2]) not in dropped]
+    for child, column, _, _ in kept:
+        out["tables"][child]["columns"][column] = "id"
+    out["relationships"] = [dict(zip(("child", "column", "parent", "key"), e)) for e in kept]
+    return out | {"applied": len(kept), "invalid": len(fk) - len(kept)}
+
+
+def save_metadata(made: dict, path: str) -> None:
+    """The metadata as one JSON file, replacing an older one (SNK-12)."""
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f, ensure_ascii=False, indent=1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -39,6 +40,51 @@ def dense_scores(queries: DataFrame, docs: DataFrame, encoder: HashedEncoder, k:
     return retrieval.cosine_top_k(q, d, k)
 
 
+@dataclass(frozen=True)
+class Selector:
+    """One way to select sources, checked when made (RET-03, RET-05..08, RET-15): bm25, hashed, or a named encoder's settings.
+
+    floor None takes the model's own. window None takes top_k + 1, as BM25 and the first dense version look for the gap;
+    the later dense version looks one rank further. reranker: a function (query, doc) -> score, or None.
+    """
+
+    model: str = "bm25"
+    strategy: str = "score_gap"
+    top_k: int = 3
+    floor: float | None = None
+    window: int | None = None
+    reranker: Callable | None = None
+    reranker_top_k: int = 5
+
+    def __post_init__(self):
+        if self.model not in ("bm25", "hashed", *retrieval.ENCODERS):
+            raise ValueError(f"unknown model {self.model}")
+        self.cut()
+
+    def cut(self) -> retrieval.Cut:
+        floor = self.floor if self.floor is not None else retrieval.ENCODERS[self.model][2] if self.model in retrieval.ENCODERS else 0.30
+        k = self.reranker_top_k if self.reranker else self.top_k
+        return retrieval.Cut(self.strategy, k, floor, self.window or k + 1)
+
+    def candidates(self, queries: DataFrame, docs: DataFrame, encoder: HashedEncoder | None = None) -> DataFrame:
+        """(query_id, source_id, rank, score) as the cut leaves them. queries: query_id, query. docs: source_id, doc; ids are bigint."""
+        how = self.cut()
+        if self.model == "bm25":
+            postings, terms = retrieval.bm25_index(docs)
+            scored = retrieval.bm25_scores(queries, materialize(postings, "postings"), terms).select("query_id", "source_id", F.col("normalized").alias("score"))
+            ranking = retrieval.ranked(scored, "score", how.window + 1)
+        else:
+            ranking = dense_scores(queries, docs, encoder or HashedEncoder(docs), how.window + 1)
+        return retrieval.cut(ranking, how)
+
+    def select(self, queries: DataFrame, docs: DataFrame, encoder: HashedEncoder | None = None) -> DataFrame:
+        """(query_id, source_id) of the selection, all sources where it is empty (SET-02)."""
+        chosen = self.candidates(queries, docs, encoder)
+        if self.reranker:
+            chosen = retrieval.rerank(chosen, queries, docs, self.reranker, self.top_k)
+        return retrieval.fallback(materialize(chosen.select("query_id", "source_id"), "chosen"), queries, docs)
+
+
 def cross_validate(model: str, candidates: DataFrame, gold: DataFrame, n_folds: int = 5, seed: int = 42, calibrate: bool = True, floor: float = 0.30) -> dict[str, DataFrame]:
     """results, fold_metrics, cv_metrics, by_field and thresholds of one model.
 

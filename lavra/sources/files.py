@@ -186,3 +186,38 @@ def index_fresh(index: DataFrame, content: str) -> bool:
         return False
     row = index.select("catalog_sha256").first()
     return bool(row) and row[0] == hashlib.sha256(content.encode()).hexdigest()
+
+
+#: Fixed value: rows that one sheet of a workbook can hold.
+SHEET_ROWS = 1_048_576
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """One .xlsx file with a sheet for each table, header first, all cells as text (SNK-03).
+
+    A workbook is one local file, so rows are streamed to the driver; a table beyond SHEET_ROWS is refused, not cut.
+    """
+    from xml.sax.saxutils import escape
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    for name, df in sheets.items():
+        if df.limit(SHEET_ROWS).count() >= SHEET_ROWS:
+            raise ValueError(f"{name} has more rows than a sheet holds")
+
+    def cells(values) -> str:
+        return "<row>" + "".join("<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for v in values) + "</row>"
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/s{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        listed = "".join(f'<sheet name="{escape(n[:31])}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, df in enumerate(sheets.values(), 1):
+            with z.open(f"xl/worksheets/s{i}.xml", "w", force_zip64=True) as f:
+                f.write(f"<worksheet {ns}><sheetData>{cells(df.columns)}".encode())
+                for row in df.toLocalIterator():
+                    f.write(cells(row).encode())
+                f.write(b"</sheetData></worksheet>")

@@ -101,3 +101,12 @@ def demo_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 def all_strings(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+
+
+def folder(spark: SparkSession, path: str, kind: str = "sql") -> Registry:
+    """A registry of every parquet table in a local folder (SRC-03, SRC-13)."""
+    found = Registry(spark)
+    for name in sorted(os.listdir(path)):
+        if name.endswith(".parquet"):
+            found.add_parquet(f"{kind}.{name.removesuffix('.parquet')}", os.path.join(path, name))
+    return found

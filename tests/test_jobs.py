@@ -82,3 +82,17 @@ def test_command_line_checks(tmp_path):
     for bad in (["map", "a", "b", "c", "d", "--similarity-threshold", "2"], ["map", "a", "b", "c", "d", "--max-suggestions", "0"], ["other"]):
         with pytest.raises(SystemExit):
             parse(bad)
+
+
+def test_selectors(spark):
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "source_id bigint, doc string")
+    q = spark.createDataFrame([(1, "saldo de estoque"), (2, "zzz")], "query_id bigint, query string")
+    for s in (benchmark.Selector(), benchmark.Selector("hashed"), benchmark.Selector("hashed", "threshold", 1, 0.2), benchmark.Selector(reranker=retrieval.token_overlap_score, top_k=1)):
+        got = {}
+        for r in s.select(q, docs).collect():
+            got.setdefault(r.query_id, set()).add(r.source_id)
+        assert got == {1: {1}, 2: {0, 1, 2, 3}}
+    assert benchmark.Selector("e5-base").cut().floor == 0.79 and benchmark.Selector(window=5).cut().window == 5
+    for bad in ({"model": "gpt"}, {"strategy": "x"}, {"top_k": 0}):
+        with pytest.raises(ValueError):
+            benchmark.Selector(**bad)

@@ -168,3 +168,43 @@ def test_rendering(spark):
     text = render.context("q", render.source_blocks(s))
     assert "### sql.a" in text and "**Linhas:** ?" in text and "1,200" in text and "MANUAL" not in text and text.endswith("2 fontes")
     assert "h" * 130 in render.system_prompt(render.compressed_lines(s)) and "h" * 131 not in render.system_prompt(render.compressed_lines(s))
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a & <b>"), (2, None)], "id int, t string")
+    files.write_workbook({"one": df, "two": df.limit(0)}, str(tmp_path / "out.xlsx"))
+    assert {(r.id, r.t) for r in files.read_workbook(spark, str(tmp_path / "out.xlsx"), "one").collect()} == {("1", "a & <b>"), ("2", None)}
+    assert files.read_workbook(spark, str(tmp_path / "out.xlsx"), "two").count() == 0
+
+
+def test_folder_and_metadata(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    assert registry.folder(spark, str(tmp_path))["sql.a"].count() == 3
+    p, c = spark.createDataFrame([(1,)], "pk int"), spark.createDataFrame([(1, 1, "x")], "ck int, pk int, s string")
+    made = synthesis.metadata({"p": p, "c": c}, [("p", "pk"), ("c", "ck")], [("c", "pk", "p", "pk"), ("p", "pk", "c", "ck"), ("c", "no", "p", "pk")])
+    assert (made["applied"], made["invalid"]) == (1, 2) and made["tables"]["c"]["columns"] == {"ck": "id", "pk": "id", "s": "categorical"}
+    synthesis.save_metadata(made, str(tmp_path / "m.json"))
+    assert json.loads((tmp_path / "m.json").read_text())["relationships"][0]["parent"] == "p"
+
+
+def test_providers_drive_an_agent(spark):
+    from lavra.plans import providers
+
+    calls = []
+
+    def opener(request, timeout):
+        body = json.loads(request.data)
+        calls.append(body)
+        if len(calls) == 1:
+            raise OSError("down")
+        system = body["messages"][0]["content"]
+        text = {providers.PLAN_PROMPT: '{"steps": [{"id": 1, "description": "d", "source_id": "sql.t3", "source_type": "sql", "operation": "list"}]}', providers.SQL_PROMPT: "```sql\nselect a from sql_t3\n```", providers.ANSWER_PROMPT: "há um"}[system]
+        return json.dumps({"message": {"content": text}, "eval_count": 2, "prompt_eval_count": 3}).encode()
+
+    p = providers.HttpProvider("ollama", "http://localhost/api/chat", "m", pause=0.0, opener=opener)
+    describe = lambda s: render.schema_prompt(s, spark.createDataFrame([(1,)], "a int"))
+    a = agent.Agent(spark, {"sql.t3": spark.createDataFrame([(1,)], "a int")}, lambda q: [], providers.planner(p, describe), providers.sql_writer(p, describe), providers.answerer(p))
+    r = a.query("quantos?")
+    assert r.answer == "há um" and r.results[0].rows == [{"a": 1}] and p.tokens == 15 and len(calls) == 4
+    with pytest.raises(ValueError):
+        providers.HttpProvider("other", "u", "m")
