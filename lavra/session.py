@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -52,10 +53,32 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _remember(spark, path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remember(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lavra_written"):
+        sc._lavra_written = []
+        atexit.register(discard, spark)
+    sc._lavra_written.append(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session, as also happens when the driver's Python ends; how many there were."""
+    sc = spark.sparkContext
+    paths, sc._lavra_written = getattr(sc, "_lavra_written", []), []
+    for path in paths:
+        try:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:
+            pass  # the JVM has gone, or the folder has
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

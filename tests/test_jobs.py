@@ -96,3 +96,15 @@ def test_selectors(spark):
     for bad in ({"model": "gpt"}, {"strategy": "x"}, {"top_k": 0}):
         with pytest.raises(ValueError):
             benchmark.Selector(**bad)
+
+
+def test_intermediate_tables_are_discarded(spark):
+    import os
+
+    from lavra.session import discard, materialize, shared_dir
+
+    df = materialize(spark.range(3).selectExpr("id", "id % 2 as part"), "kept", ["part"])
+    assert df.count() == 3 and df.columns == ["id", "part"]
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    assert any(n.startswith("kept-") for n in os.listdir(folder))
+    assert discard(spark) >= 1 and not any(n.startswith("kept-") for n in os.listdir(folder))
