@@ -51,7 +51,7 @@ OPENING = frozenset(
     "le les l' d' selon après où qui sur combien cf il elle on nous der die das den am laut gemäß wer wo wann wie im in seit es ein eine".split()
 )
 #: Words that carry on after dots of omission or an abbreviation.
-CARRY_ON = frozenset("mas porém e ou nem but yet and or pero y o mais et ou aber und oder doch sondern но и а para for pour für zum".split())
+CARRY_ON = frozenset("mas porém e ou nem but yet and or pero y mais et aber und oder doch sondern но и а para for pour für zum".split())
 
 END = "!?。！？｡؟۔।॥።՞։…․.‼⁇⁈⁉;"
 STRONG = frozenset("!?。！？｡؟۔।॥።։‼⁇⁈⁉")

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from lavra.llm import sentences
 
 CASES = [
-    ["O Dr. Silva recebeu 12,5 kg.", "Depois saiu."], ["Conforme o art. 98, a versão v1.2.3 foi gravada.", "Fim."], ["O enlace caiu... mas voltou.", "Ontem choveu..."], ['Ele escreveu: "Caiu. Vou ligar." e saiu.', "Nada mais."],
+    ["já no pátio, a guia chegou desde 22.11.2025.", "o operador saiu."], ["O Dr. Silva recebeu 12,5 kg.", "Depois saiu."], ["Conforme o art. 98, a versão v1.2.3 foi gravada.", "Fim."], ["O enlace caiu... mas voltou.", "Ontem choveu..."], ['Ele escreveu: "Caiu. Vou ligar." e saiu.', "Nada mais."],
     ["Cabos, pilhas, etc. para o setor C.", "Já no pátio, tudo bem."], ["R. C. Fumi checked it.", "Who knows?"], ["See p. 320 (cf. fig. 83).", "The end!"], ["Am 7. Mai: Dr. Gorzu kam an.", "Wer prüft das Los?"], ["Der Verstärker fehlt noch, z. B. wegen Verzug.", "Die Datei ist da."],
     ["El Ing. Bami llegó.", "¿Quién revisa?"], ["М. Иванов проверил комплект, т. е. все 28 деталей.", "На ул. Полевой стоит антенна!"], ["Ο κ. Nalnal υπέγραψε.", "Πόσα κιβώτια έμειναν;", "Λείπουν π.χ. 30 καλώδια."], ["وقّع د. Kiro على الاستلام.", "كم صندوقاً بقي؟"],
     ['संचालक ने कहा, "संपर्क टूट गया। रुकिए।" और चला गया।', "कुल भार 12 किलो है।"], ["डॉ. Linzu ने हस्ताक्षर किए।", "कितने डिब्बे बचे हैं?"], ["(See the note.)", "It works."], ["Restam 90 unidades em Furo Largo.", "904 caixas seguem."],
