@@ -4,12 +4,13 @@ Exact base aggregates: rows, nulls, distinct values, pattern and range violation
 (load, column, value) groups that are combined before the shuffle, so neither a large load nor a frequent value ends in
 one task.
 
-Two-sample test: a logistic regression is trained to tell the rows of a load from those of the load before it. Rows of a
-pair are dealt to chunks of at most 2 * CHUNK rows; every chunk trains and cross-fits its own models, whose results are
-averaged by rows, so a pair of any size is spread over the cluster and all its rows count. Reported are the cross-fitted
-AUC of the joint model, its loss when one column is ablated, and the advantage (balanced accuracy less one half) of the
-model that sees one column alone. On training rows that advantage is half the total variation distance, hence a
-screen below half the wanted distance cannot lose a case; the exact difference decides.
+Two-sample test: a logistic regression is trained to tell the rows of a load from those of the load before it. For the
+joint model, rows of a pair are dealt to chunks of at most 2 * CHUNK rows; every chunk cross-fits its own model, whose
+results are averaged by rows, so a pair of any size is spread over the cluster and all its rows count. Reported are the
+cross-fitted AUC of the joint model, its loss when one column is ablated, and the advantage (balanced accuracy less one
+half) of the model that sees one column alone. One-column models are fitted on (load, column, value) counts of the whole
+pair, so on training rows that advantage is half the total variation distance at any size, hence a screen below half the
+wanted distance cannot lose a case; the exact difference decides.
 
 Defined results: only SQL nulls are null, blanks are values; repeated rows count; a load without rows has no rates;
 rows of a null load_id belong to no load; columns that are absent from the data count as wholly null; further columns are ignored.
@@ -66,18 +67,6 @@ def profile(data: DataFrame, formats: DataFrame) -> DataFrame:
     ).withColumn("null_rate", 1 - F.col("non_null") / F.col("row_count"))
 
 
-def _fit_own(codes: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, steps: int = 6) -> np.ndarray:
-    """One-column logistic models at once: features of a column exclude each other, so Newton's step is exact for each."""
-    w = np.zeros(n)
-    flat, ww = codes.ravel(), weight.ravel()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-w[flat]))
-        g = np.bincount(flat, (np.broadcast_to(y[:, None], codes.shape).ravel() - p) * ww, n)
-        h = np.bincount(flat, p * (1 - p) * ww, n)
-        w += np.clip(g / (h + 1e-3), -4, 4)
-    return w
-
-
 def _fit_joint(codes: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, steps: int = 40) -> np.ndarray:
     w, flat, k = np.zeros(n), codes.ravel(), codes.shape[1]
     h = 0.25 * np.bincount(flat, np.repeat(weight, k), n) + 1.0
@@ -96,20 +85,6 @@ def _auc(score: np.ndarray, y: np.ndarray) -> float:
     return float((ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n0 * n1))
 
 
-def _balanced(y: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """Weights with which both loads count alike among the rows where a column has a feature."""
-    one = (there & (y == 1)[:, None]).sum(0)
-    zero = (there & (y == 0)[:, None]).sum(0)
-    both = (one > 0) & (zero > 0)
-    w = np.where(y[:, None] == 1, 1 / np.maximum(one, 1), 1 / np.maximum(zero, 1)) * there * both
-    return w * (len(y) / 2)
-
-
-def _advantage(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    s = np.sign(margin) * weight / (len(y) / 2)
-    return ((s * (y == 1)[:, None]).sum(0) - (s * (y == 0)[:, None]).sum(0)) / 4
-
-
 def _train(columns: list[str]):
     k = len(columns)
 
@@ -119,17 +94,6 @@ def _train(columns: list[str]):
         uniq, codes = np.unique(tokens, return_inverse=True)
         codes = codes.reshape(tokens.shape)
         n = len(uniq)
-        # value models see the rows that have a value, null models see all rows
-        there = (tokens & ((1 << RATE_BITS) - 1)) != 0
-        nulls = np.arange(k) * 2 + there
-        bal = {"value": _balanced(y, there), "null": _balanced(y, np.ones_like(there))}
-        train, cross = {}, {}
-        for what, c, size in (("value", codes, n), ("null", nulls, 2 * k)):
-            train[what] = _advantage(_fit_own(c, y, bal[what], size)[c], y, bal[what])
-            margin = np.zeros(c.shape)
-            for f in (0, 1):
-                margin[fold == f] = _fit_own(c[fold != f], y[fold != f], bal[what][fold != f], size)[c[fold == f]]
-            cross[what] = _advantage(margin, y, bal[what])
         each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
         parts = np.zeros(codes.shape)
         for f in (0, 1):
@@ -141,13 +105,31 @@ def _train(columns: list[str]):
             {
                 "load_id": pdf["load_id"].iloc[0], "n": len(y), "column_name": columns, "auc": full,
                 "ablation": [full - _auc(whole - parts[:, j], y) for j in range(k)],
-                "value_fit": train["value"], "null_fit": train["null"], "value_cross": cross["value"], "null_cross": cross["null"],
             }
         )
 
     return run
 
 
+def _own_models(counts: DataFrame, sides: DataFrame, name: str) -> DataFrame:
+    """(load_id, column_name, <name>_fit, <name>_cross): advantage of the one-column models, on training rows and cross-fitted.
+
+    counts: own, column_name, seen, fold, n. Features of a column exclude each other, so the balanced model's optimum is the
+    difference of their shares. 0 where a side has no rows with a feature.
+    """
+    sides = sides.select("load_id", "own", "side")
+    totals = counts.groupBy("own", "column_name").agg(F.sum("n").alias("n")).join(sides, "own").groupBy("load_id", "column_name", "side").agg(F.sum("n").alias("total"))
+    share = F.col("n") / F.col("total") * (2 * F.col("side") - 1)
+    gaps = (
+        counts.join(sides, "own").join(totals, ["load_id", "column_name", "side"])
+        .groupBy("load_id", "column_name", "seen")
+        .agg(*[F.sum(F.when(F.col("fold") == f, share).otherwise(0.0)).alias(f"g{f}") for f in (0, 1)], F.max("side").alias("one"), F.min("side").alias("zero"))
+    )
+    fit, cross = F.abs(F.col("g0") + F.col("g1")), F.signum("g1") * F.col("g0") + F.signum("g0") * F.col("g1")
+    both = (F.max("one") == 1) & (F.min("zero") == 0)
+    return gaps.groupBy("load_id", "column_name").agg(*[F.when(both, F.sum(v) / 4).otherwise(0.0).alias(f"{name}_{what}") for what, v in (("fit", fit), ("cross", cross))])
+
+
 def two_sample(data: DataFrame, loads: DataFrame, formats: DataFrame, sizes: DataFrame) -> DataFrame:
     """Discrimination between each load and the one before it, for every column.
 
@@ -170,27 +152,47 @@ def two_sample(data: DataFrame, loads: DataFrame, formats: DataFrame, sizes: Dat
         pairs.select("load_id", F.col("previous_load_id").alias("own"), F.lit(0).alias("side"), "chunks", copies("n0").alias("copies"))
     )
 
+    def value(c: str):
+        return F.col(c) if c in data.columns else F.lit(None).cast("string")
+
+    def magnitude(v):
+        return F.concat(F.signum(v.cast("double")), F.floor(F.log2(1 + F.abs(v.cast("double")))))
+
+    def length(v):
+        return F.least(F.length(v.cast("string")), F.lit(64)).cast("string")
+
+    def feature(c: str):
+        v = value(c)
+        return v.cast("string") if kinds[c] in ("category", "flag") else magnitude(v) if kinds[c] == "number" else length(v)
+
     def token(j: int, c: str):
-        v = F.col(c) if c in data.columns else F.lit(None).cast("string")
-        if kinds[c] in ("category", "flag"):
-            seen = v.cast("string")
-        elif kinds[c] == "number":
-            seen = F.concat(F.signum(v.cast("double")), F.floor(F.log2(1 + F.abs(v.cast("double")))))
-        else:
-            seen = F.least(F.length(v.cast("string")), F.lit(64)).cast("string")
-        low = F.when(v.isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(seen), F.lit((1 << RATE_BITS) - 1)))
+        low = F.when(value(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(feature(c)), F.lit((1 << RATE_BITS) - 1)))
         return F.lit(j << RATE_BITS).cast("bigint") + low
 
     at = F.xxhash64(*[F.col(c).cast("string") for c in columns if c in data.columns], F.spark_partition_id(), F.monotonically_increasing_id())
-    rows = data.where(F.col("load_id").isNotNull()).select(F.col("load_id").alias("own"), F.array(*[token(j, c) for j, c in enumerate(columns)]).alias("tokens"), at.alias("at"))
+    fold = F.pmod(F.shiftright("at", 40), F.lit(2)).cast("int").alias("fold")
+    known = data.where(F.col("load_id").isNotNull())
+    rows = known.select(F.col("load_id").alias("own"), F.array(*[token(j, c) for j, c in enumerate(columns)]).alias("tokens"), at.alias("at"))
     dealt = rows.join(sides, "own").select(
-        "load_id", "side", "tokens", F.pmod(F.shiftright("at", 40), F.lit(2)).cast("int").alias("fold"),
+        "load_id", "side", "tokens", fold,
         F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda i: F.pmod(F.col("at") + i, F.col("chunks")))).alias("chunk"),
     )
-    out = "load_id bigint, n bigint, column_name string, auc double, ablation double, value_fit double, null_fit double, value_cross double, null_cross double"
-    each = dealt.groupBy("load_id", "chunk").applyInPandas(_train(columns), out)
+    each = dealt.groupBy("load_id", "chunk").applyInPandas(_train(columns), "load_id bigint, n bigint, column_name string, auc double, ablation double")
     mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
-    return each.groupBy("load_id", "column_name").agg(F.sum("n").alias("n"), *[mean(c) for c in ("auc", "ablation", "value_fit", "null_fit", "value_cross", "null_cross")])
+    joint = each.groupBy("load_id", "column_name").agg(F.sum("n").alias("n"), mean("auc"), mean("ablation"))
+
+    # features after the unpivot: taken side by side, their code would be too long to be compiled
+    named = columns or ["-"]
+    cell = known.select("load_id", at.alias("__at"), *[value(c).cast("string").alias(c) for c in named]).unpivot(["load_id", "__at"], named, "column_name", "value")
+    cell = cell.select(F.col("load_id").alias("own"), F.col("__at").alias("at"), "column_name", "value").select("own", fold, "column_name", "value")
+    of = lambda *k: F.col("column_name").isin([c for c in columns if kinds[c] in k])
+    shape = F.when(of("category", "flag"), F.col("value")).when(of("number"), magnitude(F.col("value"))).otherwise(length(F.col("value")))
+    cell = cell.withColumn("seen", F.when(F.col("value").isNotNull(), shape))
+    counts = materialize(cell.groupBy("own", "column_name", "seen", "fold").agg(F.count("*").alias("n")), "feature-counts")
+    nulls = counts.groupBy("own", "column_name", F.col("seen").isNull().alias("seen"), "fold").agg(F.sum("n").alias("n"))
+    own = _own_models(nulls, sides, "null").join(_own_models(counts.where("seen is not null"), sides, "value"), ["load_id", "column_name"], "left")
+    ranks = joint.join(own, ["load_id", "column_name"], "left")
+    return ranks.select("load_id", "column_name", "n", "auc", "ablation", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("value_fit", "null_fit", "value_cross", "null_cross")])
 
 
 def category_distances(data: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:

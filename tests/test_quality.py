@@ -85,3 +85,14 @@ def test_two_sample_tells_shifted_columns(spark):
     got = {r.column_name: r for r in quality.two_sample(make(spark, loads), told, forms(spark), sizes).collect()}
     assert got["c"].auc > 0.75 and got["c"].ablation > 0.2 and got["c"].value_cross > 0.2
     assert abs(got["k"].ablation) < 0.05 and got["k"].value_fit == 0
+
+
+def test_a_shift_of_few_values_in_large_loads_is_found(spark):
+    shares = {1: ["a"] * 30 + ["b"] * 30, 2: ["a"] * 48 + ["b"] * 12}
+    loads = {i: [(c, "AB", 1) for c in v] + [(None, "AB", 1)] * 29_940 for i, v in shares.items()}
+    told = [(1, None, 30_000, 3), (2, 1, 30_000, 3)]
+    told, declared = spark.createDataFrame(told, LOADS), spark.createDataFrame([], "load_id bigint, column_name string, null_rate double, cardinality bigint")
+    assert {tuple(r) for r in quality.findings(make(spark, loads), told, declared, forms(spark)).collect()} == {(2, "c", "value_shift")}
+    sizes = spark.createDataFrame([(1, 30_000), (2, 30_000)], "load_id bigint, row_count bigint")
+    got = {r.column_name: r for r in quality.two_sample(make(spark, loads), told, forms(spark), sizes).collect()}
+    assert got["c"].value_fit == pytest.approx(0.15) and got["c"].null_fit == pytest.approx(0)
