@@ -6,20 +6,20 @@ whose scores sum highest; a span scores the words that close it and that open wh
 and brackets that its end would cut.
 
 Defined results: null, empty and blank texts have no units; offsets count code points of the text as given, with its own
-line ends; a unit has no white space at either end. Any text of any length is split whole: spans look back over
-LOOK_BACK candidates at most, and a longer run of rejected candidates falls back to the best candidate in reach.
+line ends; a unit has no white space at either end. Any text of any length is split whole: a span may hold any
+number of rejected candidates.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOOK_BACK = 48
 SCHEMA = "doc_id bigint, start_pos int, end_pos int"
 
 #: Abbreviations that a name, a number or the rest of a phrase follows.
@@ -286,8 +286,22 @@ def split_paragraph(text: str, a: int, b: int) -> list[tuple[int, int]]:
     ends = [a, *(x for x, _ in marks), b]
     gain = [0.0, *(s for _, s in marks), 0.0]
     best, back = [0.0] + [float("-inf")] * (len(ends) - 1), [0] * len(ends)
+    # best start of every kind of span: under 4 characters one by one, up to 400 the window's maximum, beyond it a running one
+    window, near, far, longest = deque(), 0, 0, None
     for j in range(1, len(ends)):
-        for i in range(max(0, j - LOOK_BACK), j):
+        while ends[j] - ends[near] >= 4:
+            while window and best[window[-1]] < best[near]:
+                window.pop()
+            window.append(near)
+            near += 1
+        while ends[j] - ends[far] > 400:
+            if longest is None or best[far] + 0.004 * ends[far] > best[longest] + 0.004 * ends[longest]:
+                longest = far
+            far += 1
+        while window and window[0] < far:
+            window.popleft()
+        starts = [*([] if longest is None else [longest]), *([window[0]] if window else []), *range(near, j)]
+        for i in starts:
             size = ends[j] - ends[i]
             long = -0.004 * max(0, size - 400) - (1.5 if size < 4 else 0.0)
             if best[i] + gain[j] + long > best[j]:

@@ -45,6 +45,12 @@ def test_units_cover_all_that_is_not_white(text):
     assert not text[at:].strip()
 
 
+def test_more_than_48_rejected_marks_stay_inside_their_unit():
+    units = ["O guia anotou (" + "Caiu a linha. " * 60 + "fim) e saiu.", "Depois choveu."]
+    text = " ".join(units)
+    assert [text[a:b] for a, b in sentences.split(text)] == units
+
+
 def test_operator_edges(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, " \n", 5), (4, "Uma. Duas.", 5), (4, "Uma. Duas.", 5), (5, "Frase longa aqui. " * 20_000, 5)], "doc_id bigint, text string, start_pos int")
     rows = sentences.sentences(df).groupBy("doc_id").count().collect()
