@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lavra.functions.text import content_tokens, first_label, set_overlap
 
 RESAMPLES, SEED, ALPHA = 10_000, 42, 0.05
+#: Resamples of a block, and values that a block holds at once.
+BLOCK, CELLS = 500, 1_000_000
 BANDS = ("baixa", "media", "alta")
 
 
@@ -33,33 +35,35 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both
 
 
+def _slope(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    c = u - u.mean(-1, keepdims=True)
+    below = (c * c).sum(-1)
+    return np.where(below > 0, (c * (v - v.mean(-1, keepdims=True))).sum(-1) / np.where(below > 0, below, 1), 0.0)
+
+
 def _bootstrap(stat: str, n_boot: int, seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        name, block = key
+        rng = np.random.default_rng([seed, int(block)])
         pdf = pdf.sort_values("key", kind="stable")
-        name = pdf["comparison"].iloc[0]
+        d = (pdf["a"] - pdf["b"]).to_numpy(float)
+        pick = lambda v, k: v[rng.integers(0, len(v), (k, len(v)))]
         if stat == "mean":
-            d = (pdf["a"] - pdf["b"]).to_numpy(float)
-            observed, boot = d.mean(), d[rng.integers(0, len(d), (n_boot, len(d)))].mean(1)
+            observed, draw = d.mean(), lambda k: pick(d, k).mean(1)
         elif stat == "slope":
-            x, y = pdf["x"].to_numpy(float), (pdf["a"] - pdf["b"]).to_numpy(float)
-            at = rng.integers(0, len(x), (n_boot, len(x)))
-            xs, ys = x[at], y[at]
+            x = pdf["x"].to_numpy(float)
+            observed = float(_slope(x[None], d[None])[0])
 
-            def slope(u, v):
-                c = u - u.mean(-1, keepdims=True)
-                below = (c * c).sum(-1)
-                return np.where(below > 0, (c * (v - v.mean(-1, keepdims=True))).sum(-1) / np.where(below > 0, below, 1), 0.0)
-
-            observed, boot = float(slope(x[None], y[None])[0]), slope(xs, ys)
+            def draw(k: int) -> np.ndarray:
+                at = pick(np.arange(len(d)), k)
+                return _slope(x[at], d[at])
         else:
-            d, low = (pdf["a"] - pdf["b"]).to_numpy(float), pdf["low"].to_numpy(bool)
+            low = pdf["low"].to_numpy(bool)
             lo, hi = d[low], d[~low]
-            observed = lo.mean() - hi.mean()
-            boot = lo[rng.integers(0, len(lo), (n_boot, len(lo)))].mean(1) - hi[rng.integers(0, len(hi), (n_boot, len(hi)))].mean(1)
-        p = min(1.0, 2 * min((boot >= 0).mean(), (boot <= 0).mean()))
-        low_ci, high_ci = np.percentile(boot, [2.5, 97.5])
-        return pd.DataFrame([(name, len(pdf), observed, p, low_ci, high_ci)], columns=["comparison", "n", "estimate", "p_raw", "ci_low", "ci_high"])
+            observed, draw = lo.mean() - hi.mean(), lambda k: pick(lo, k).mean(1) - pick(hi, k).mean(1)
+        left, step = min(BLOCK, n_boot - int(block) * BLOCK), max(1, CELLS // len(d))
+        boot = np.concatenate([draw(min(step, left - i)) for i in range(0, left, step)])
+        return pd.DataFrame({"comparison": name, "n": len(d), "estimate": observed, "boot": boot})
 
     return run
 
@@ -68,9 +72,16 @@ def bootstrap(pairs: DataFrame, stat: str = "mean", n_boot: int = RESAMPLES, see
     """(comparison, n, estimate, p_raw, ci_low, ci_high) of paired results (STA-01), of the slope over x (STA-10), or of low against high (STA-11).
 
     pairs: comparison, key, a, b and, by stat, x or low. One comparison holds the questions of a benchmark, so one task
-    can hold it; comparisons run side by side. Two-sided p is twice the smaller tail, at most 1. Difference is a minus b.
+    can hold it; resamples are drawn in blocks, each a task with its own generator, CELLS values at a time. Two-sided p is
+    twice the smaller tail, at most 1. Difference is a minus b.
     """
-    return pairs.groupBy("comparison").applyInPandas(_bootstrap(stat, n_boot, seed), "comparison string, n bigint, estimate double, p_raw double, ci_low double, ci_high double")
+    blocks = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BLOCK))))
+    drawn = blocks.groupBy("comparison", "block").applyInPandas(_bootstrap(stat, n_boot, seed), "comparison string, n bigint, estimate double, boot double")
+    tails = drawn.groupBy("comparison").agg(
+        F.max("n").alias("n"), F.max("estimate").alias("estimate"), F.avg((F.col("boot") >= 0).cast("double")).alias("up"), F.avg((F.col("boot") <= 0).cast("double")).alias("down"),
+        F.percentile("boot", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"),
+    )
+    return tails.select("comparison", "n", "estimate", F.least(F.lit(1.0), 2 * F.least("up", "down")).alias("p_raw"), F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 
 
 def bootstrap_sql(pairs: DataFrame, n_boot: int = 200, seed: int = SEED) -> DataFrame:

@@ -561,8 +561,8 @@ def slopes(spark: SparkSession, d: str) -> DataFrame:
     return statistics.slope(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity").select("l_returnflag", "n", F.round("slope", 6).alias("slope"))
 
 
-def _model_results(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark_queries").where("query_uid % 20 = 0").select(F.col("query_uid").alias("query_id"))
+def _model_results(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
+    b = table(spark, d, "benchmark_queries").where(part).select(F.col("query_uid").alias("query_id"))
     draw = lambda m: masking.uniform(F.lit(m), F.col("query_id"))
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (draw(m) * w).alias("f1")) for m, w in (("a", 1.0), ("b", 0.9), ("c", 0.7))]))
     return b.select("query_id", models.alias("m")).select("query_id", "m.model", "m.f1")
@@ -572,12 +572,14 @@ def _draw_sql(m: str, w: float) -> str:
     return f"select query_uid as query_id, '{m}' as model, {w} * (cast(concat('0x', substr(md5(concat_ws('|', '{m}', query_uid::varchar)), 1, 8)) as ubigint) / 4294967296.0) as f1 from benchmark_queries where query_uid % 20 = 0"
 
 
+#: The rows that the SQL of model_pairs and bootstrap_sql names.
+_STATED = "query_uid % 20 = 0"
 _MODELS = " union all ".join(_draw_sql(m, w) for m, w in (("a", 1.0), ("b", 0.9), ("c", 0.7)))
 
 
 @query("model_pairs", f"with r as ({_MODELS}) select concat(x.model, ' vs ', y.model) as comparison, count(*) as n, round(avg(x.f1 - y.f1), 6) as diff from r x join r y using (query_id) where x.model < y.model group by 1")
 def model_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = statistics.model_pairs(_model_results(spark, d))
+    p = statistics.model_pairs(_model_results(spark, d, _STATED))
     return p.groupBy("comparison").agg(F.count("*").alias("n"), F.round(F.avg(F.col("a") - F.col("b")), 6).alias("diff"))
 
 
@@ -588,7 +590,7 @@ h as (select comparison, b, cast(concat('0x', substr(md5(concat_ws('|', '42', b:
 m as (select comparison, b, avg(d) as m from h join o using (comparison, i) group by 1, 2)
 select comparison, any_value(n) as n, round(any_value(estimate), 6) as estimate, round(least(1.0, 2 * least(avg((m >= 0)::int), avg((m <= 0)::int))), 6) as p_raw, round(quantile_cont(m, 0.025), 6) as ci_low, round(quantile_cont(m, 0.975), 6) as ci_high from m join z using (comparison) group by 1""")
 def bootstrap_sql(spark: SparkSession, d: str) -> DataFrame:
-    got = statistics.bootstrap_sql(statistics.model_pairs(_model_results(spark, d)), 100)
+    got = statistics.bootstrap_sql(statistics.model_pairs(_model_results(spark, d, _STATED)), 100)
     return got.select("comparison", "n", *[F.round(c, 6).alias(c) for c in ("estimate", "p_raw", "ci_low", "ci_high")])
 
 
@@ -601,10 +603,10 @@ def bootstrap_ranking(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_interaction(spark: SparkSession, d: str) -> DataFrame:
     """Slope of the advantage over the overlap, and low band against high band."""
     pairs = statistics.model_pairs(_model_results(spark, d)).join(_banded(spark, d).withColumnRenamed("query_id", "key"), "key")
-    slopes = statistics.bootstrap(pairs.withColumn("x", F.col("overlap")), "slope", 2000).withColumn("test", F.lit("slope"))
+    slopes = statistics.bootstrap(pairs.withColumn("x", F.col("overlap")), "slope").withColumn("test", F.lit("slope"))
     ends = pairs.where("band in ('baixa', 'alta')").withColumn("low", F.col("band") == "baixa")
     both = ends.groupBy("comparison").agg(F.countDistinct("low").alias("k")).where("k = 2").select("comparison")
-    did = statistics.bootstrap(ends.join(both, "comparison"), "did", 2000).withColumn("test", F.lit("did"))
+    did = statistics.bootstrap(ends.join(both, "comparison"), "did").withColumn("test", F.lit("did"))
     return statistics.holm(slopes.unionByName(did), ["test"])
 
 
@@ -613,7 +615,7 @@ def ablation_steps(spark: SparkSession, d: str) -> DataFrame:
     r = _model_results(spark, d)
     versions = ["v1", "v2", "v3"]
     v = r.select("query_id", "model", "f1", F.explode(F.array(*[F.lit(x) for x in versions])).alias("version")).withColumn("f1", F.col("f1") * masking.uniform(F.col("version"), F.col("query_id")))
-    return statistics.bootstrap(statistics.ablation_pairs(v, versions), "mean", 2000)
+    return statistics.bootstrap(statistics.ablation_pairs(v, versions), "mean")
 
 
 # ================================================================ plans

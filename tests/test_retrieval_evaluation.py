@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lavra.functions import text as X
 from lavra.operators import evaluation, retrieval, statistics
+from lavra.plans.queries import QUERIES
+from lavra.session import table
 
 
 def ranking(spark, scores):
@@ -89,6 +91,15 @@ def test_holm_by_hand(spark):
     assert got == {("f", 0.01): (0.03, True), ("f", 0.03): (0.06, False), ("f", 0.04): (0.06, False), ("g", 0.2): (0.2, False)}
 
 
+@pytest.mark.parametrize("name", ["bootstrap_ranking", "bootstrap_interaction", "ablation_steps"])
+def test_paired_tests_take_all_queries_and_resamples(spark, data, monkeypatch, name):
+    made, real = [], statistics._bootstrap
+    monkeypatch.setattr(statistics, "_bootstrap", lambda stat, n_boot, seed: made.append(n_boot) or real(stat, n_boot, seed))
+    rows = QUERIES[name](spark, data).collect()
+    every = table(spark, data, "benchmark_queries").count()
+    assert set(made) == {10_000} and rows and (name == "bootstrap_interaction" or {r.n for r in rows} == {every})
+
+
 def test_bootstrap_repeats_and_signs(spark):
     rows = [("x", i, 0.5 + i / 100, 0.4 + i / 100) for i in range(20)] + [("y", i, float(i % 2), float((i + 1) % 2)) for i in range(20)]
     pairs = spark.createDataFrame(rows, "comparison string, key int, a double, b double")
