@@ -58,7 +58,7 @@ def with_hint_placeholders(sources: DataFrame) -> DataFrame:
     return sources.withColumn("embedding_hint", F.coalesce("embedding_hint", F.concat(F.lit(UNFILLED + " "), F.col("source_key"))))
 
 
-def catalog_columns(source_id: str, table: DataFrame, exact_limit: int | None = 100_000, pk: tuple[str, ...] = ()) -> DataFrame:
+def catalog_columns(source_id: str, table: DataFrame, exact_limit: int | None = None, pk: tuple[str, ...] = ()) -> DataFrame:
     """Catalog rows for the columns of one table (CAT-04)."""
     return profile(table, exact_limit).select(F.lit(source_id).alias("source_id"), "ordinal", "column_name", "native_type", "nullable", F.col("column_name").isin(*pk).alias("is_pk") if pk else F.lit(False).alias("is_pk"), "is_unique_key", "null_rate", "cardinality", "min_v", "max_v", "mean_v")
 

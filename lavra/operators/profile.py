@@ -38,8 +38,8 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def profile(df: DataFrame, exact_limit: int | None = None, decimals: int = 4) -> DataFrame:
     """(ordinal, column_name, native_type, row_count, null_rate, nullable, cardinality, cardinality_kind, is_unique_key, min_v, max_v, mean_v).
 
-    Distinct values are exact up to exact_limit rows (None: always) and a sketch beyond, as cardinality_kind says. An empty
-    table has null rate 0 and no ranges; NaN counts as null; means are given for fractional columns only.
+    Distinct values are exact up to exact_limit rows (None: always) and a sketch beyond, as cardinality_kind says; whether a
+    sketched column is a key is not known, so null. An empty table has null rate 0 and no ranges; NaN counts as null; means are given for fractional columns only.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     flat = {c: k for c, k in kinds.items() if not isinstance(k, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))}
@@ -65,7 +65,7 @@ def profile(df: DataFrame, exact_limit: int | None = None, decimals: int = 4) ->
     rate = F.when(F.col("row_count") > 0, F.round(F.col("nulls") / F.col("row_count"), decimals)).otherwise(0.0)
     return counted.select(
         "ordinal", "column_name", types[F.col("column_name")].alias("native_type"), "row_count", rate.alias("null_rate"), (F.col("nulls") > 0).alias("nullable"), "cardinality",
-        F.lit("approximate" if sketch else "exact").alias("cardinality_kind"), ((F.col("nulls") == 0) & (F.col("row_count") > 0) & (F.col("cardinality") == F.col("row_count"))).alias("is_unique_key"), "min_v", "max_v", "mean_v",
+        F.lit("approximate" if sketch else "exact").alias("cardinality_kind"), (F.lit(None).cast("boolean") if sketch else (F.col("nulls") == 0) & (F.col("row_count") > 0) & (F.col("cardinality") == F.col("row_count"))).alias("is_unique_key"), "min_v", "max_v", "mean_v",
     )
 
 

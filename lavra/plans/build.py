@@ -25,7 +25,7 @@ class Catalog:
     errors: dict[str, str] = field(default_factory=dict)
 
 
-def build(registry: Registry, existing: Catalog | None = None, force: bool = False, refresh_stats: bool = False, exact_limit: int | None = 100_000, sample: int = 3, keys: dict[str, tuple[str, ...]] | None = None) -> Catalog:
+def build(registry: Registry, existing: Catalog | None = None, force: bool = False, refresh_stats: bool = False, exact_limit: int | None = None, sample: int = 3, keys: dict[str, tuple[str, ...]] | None = None) -> Catalog:
     """Profile the registered sources that the catalog lacks, all of them if forced, and merge them in.
 
     refresh_stats also recounts the rows of sources that stay. A source that fails is reported and leaves its old entry.

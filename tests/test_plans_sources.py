@@ -85,6 +85,12 @@ def test_profile_of_empty_and_nan(spark):
     assert big.cardinality_kind == "approximate" and abs(big.cardinality - 1000) < 150
 
 
+def test_keys_of_large_tables_are_keys_in_the_catalog(spark):
+    r = catalog.catalog_columns("sql.big", spark.range(150_000)).first()
+    assert r.cardinality == 150_000 and r.is_unique_key
+    assert profile.profile(spark.range(1000), exact_limit=100).first().is_unique_key is None
+
+
 def test_semantic_types(spark):
     df = spark.createDataFrame([(i, i % 2, f"2024-01-{i % 28 + 1:02d}", "AB-12", "12.345.678/0001", "free text", None, 1.5, True) for i in range(60)], "id int, flag int, d string, code string, doc string, t string, n string, f double, b boolean")
     got = {r.column_name: r.semantic_type for r in profile.semantic_types(df, ["id"]).collect()}
