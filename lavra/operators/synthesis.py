@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lavra.operators.numbering import number_rows
+from lavra.session import materialize
+
 QUANTILES = 1000
+#: Text columns of more values than this are drawn from a written table instead of the model.
 TOP_VALUES = 10_000
 
 
@@ -54,8 +58,9 @@ def _number(c: str, kind: T.DataType) -> Column:
 class Copula:
     """Gaussian copula of one table, fitted with distributed quantiles, value counts and correlations.
 
-    Model size is bounded: QUANTILES knots for a numeric or time column, the TOP_VALUES most frequent values of a text
-    column (rarer ones are drawn as one of those), and one correlation matrix over the columns.
+    Model size is bounded: QUANTILES knots for a numeric or time column, the values of a text column up to TOP_VALUES, and
+    one correlation matrix over the columns. Where a text column has more values, they are written as a table, numbered
+    among those of equal count, and the model keeps one entry for each count; all are scored and drawn by joins.
     """
 
     def __init__(self, df: DataFrame, skip: tuple[str, ...] = (), accuracy: int = 10_000):
@@ -72,12 +77,17 @@ class Copula:
         self.rows = row["__n"]
         self.knots = {c: np.array(row[f"q_{i}"] or [0.0]) for i, c in enumerate(self.numbers)}
         self.nulls = {f.name: row[f"z_{i}"] or 0.0 for i, f in enumerate(self.schema)}
-        self.values = {}
+        self.values, self.large = {}, {}
         for c in self.texts:
-            top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).limit(TOP_VALUES).collect()
+            counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
+            top = counts.orderBy(F.desc("n"), c).limit(TOP_VALUES + 1).collect()
+            if len(top) > TOP_VALUES:
+                written = materialize(number_rows(counts.select(F.col(c).alias("value"), "n"), ["n"], ["value"], "place"), "values")
+                self.large[c] = (written, _Counts(written.groupBy("n").agg(F.count("*").alias("values")).orderBy(F.desc("n")).collect()))
+                continue
             n = np.array([r["n"] for r in top], dtype=float)
             self.values[c] = ([r[c] for r in top], np.cumsum(n) / n.sum() if len(n) else n)
-        self.columns = [*self.numbers, *[c for c in self.texts if self.values[c][0]]]
+        self.columns = [*self.numbers, *[c for c in self.texts if c in self.large or self.values[c][0]]]
         self.matrix = self._correlation(df)
 
     def _scores(self, c: str):
@@ -92,6 +102,15 @@ class Copula:
                 return pd.Series(np.where(v.isna(), 0.0, z))
 
             return of_number(_number(c, self.kinds[c]))
+        if c in self.large:
+            counts = self.large[c][1]
+
+            @F.pandas_udf("double")
+            def of_place(n: pd.Series, place: pd.Series) -> pd.Series:
+                u = np.where(n.isna(), 0.5, counts.middle(n.fillna(1).to_numpy(float), place.fillna(1).to_numpy(float)))
+                return pd.Series(np.interp(np.clip(u, 1e-4, 1 - 1e-4), _GRID, _NORMAL))
+
+            return of_place(F.col(f"__n_{self.texts.index(c)}"), F.col(f"__place_{self.texts.index(c)}"))
         values, upto = self.values[c]
         middle = dict(zip(values, (np.concatenate([[0], upto[:-1]]) + upto) / 2))
 
@@ -106,6 +125,9 @@ class Copula:
         k = len(self.columns)
         if k < 2 or not self.rows:
             return np.eye(max(k, 1))
+        for c, (written, _) in self.large.items():
+            i = self.texts.index(c)
+            df = df.join(written.select(F.col("value").alias(c), F.col("n").alias(f"__n_{i}"), F.col("place").alias(f"__place_{i}")), c, "left")
         scored = df.select(*[self._scores(c).alias(f"s{i}") for i, c in enumerate(self.columns)])
         pairs = [(i, j) for i in range(k) for j in range(i)]
         row = scored.agg(*[F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
@@ -118,12 +140,14 @@ class Copula:
         d = np.sqrt(np.diag(m))
         return m / np.outer(d, d)
 
-    def sample(self, spark, n: int, seed: int = 42, key: str | None = None) -> DataFrame:
-        """n synthetic rows made where they are stored: every row depends on its number and the seed only."""
+    def sample(self, spark, n: int, seed: int = 42, key: str | None = None, numbered: bool = False) -> DataFrame:
+        """n synthetic rows made where they are stored: every row depends on its number (column __row, if numbered) and the seed only."""
         root = np.linalg.cholesky(self.matrix)
         columns, knots, values, nulls, kinds = self.columns, self.knots, self.values, self.nulls, self.kinds
+        counts = {c: of for c, (_, of) in self.large.items()}
+        places = {c: (f"__n_{self.texts.index(c)}", f"__place_{self.texts.index(c)}") for c in counts}
         fields = [f for f in self.schema if f.name in columns or f.name == key]
-        out = T.StructType([T.StructField("__row", T.LongType()), *[T.StructField(c, T.DoubleType() if c in knots else (T.BooleanType() if isinstance(kinds[c], T.BooleanType) else T.StringType())) for c in columns]])
+        out = T.StructType([T.StructField("__row", T.LongType()), *[T.StructField(c, T.DoubleType() if c in knots else (T.BooleanType() if isinstance(kinds[c], T.BooleanType) else T.StringType())) for c in columns if c not in counts], *[T.StructField(x, T.LongType()) for pair in places.values() for x in pair]])
 
         def make(batches):
             for pdf in batches:
@@ -134,18 +158,24 @@ class Copula:
                     rng = np.random.default_rng((seed, int(i)))
                     z[r], miss[r] = rng.standard_normal(len(columns)), rng.random(len(columns))
                 u = np.interp(z @ root.T, _NORMAL, _GRID)
+                p = np.interp(z @ root.T, _Z, _PHI)  # up to the ends, so that rare values are drawn too
                 made = {"__row": ids}
                 for j, c in enumerate(columns):
                     if c in knots:
                         v = np.interp(u[:, j], np.linspace(0, 1, len(knots[c])), knots[c])
                         made[c] = np.where(miss[:, j] < nulls[c], np.nan, v)
+                    elif c in counts:
+                        n, place = counts[c].find(p[:, j])
+                        made[places[c][0]], made[places[c][1]] = np.where(miss[:, j] < nulls[c], 0, n), place
                     else:
                         names, upto = values[c]
-                        at = np.minimum(np.searchsorted(upto, u[:, j]), len(names) - 1)
+                        at = np.minimum(np.searchsorted(upto, p[:, j]), len(names) - 1)
                         made[c] = [None if miss[r, j] < nulls[c] else names[a] for r, a in enumerate(at)]
                 yield pd.DataFrame(made)
 
         raw = spark.range(n).mapInPandas(make, out)
+        for c, (written, _) in self.large.items():
+            raw = raw.join(written.select(F.col("value").alias(c), F.col("n").alias(places[c][0]), F.col("place").alias(places[c][1])), list(places[c]), "left")
 
         def typed(f: T.StructField) -> Column:
             if f.name == key:
@@ -157,20 +187,40 @@ class Copula:
                 v = v.cast("timestamp")
             return v.cast(f.dataType).alias(f.name)
 
-        return raw.select(*[typed(f) for f in fields])
+        return raw.select(*[typed(f) for f in fields], *(["__row"] if numbered else []))
+
+
+class _Counts:
+    """The counts of a written table of values, from the highest: cumulated rows, and places among values of equal count."""
+
+    def __init__(self, rows: list):
+        self.n, self.values = (np.array([r[k] for r in rows], dtype=float) for k in ("n", "values"))
+        self.upto = np.cumsum(self.n * self.values)
+        self.start = self.upto - self.n * self.values
+
+    def middle(self, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(-self.n, -n), len(self.n) - 1)
+        return (self.start[at] + (place - 0.5) * n) / self.upto[-1]
+
+    def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.upto, u * self.upto[-1], "right"), len(self.n) - 1)
+        place = np.floor((u * self.upto[-1] - self.start[at]) / self.n[at]) + 1
+        return self.n[at].astype(np.int64), np.clip(place, 1, self.values[at]).astype(np.int64)
 
 
 _INVERSE = NormalDist().inv_cdf
 _GRID = np.linspace(1e-4, 1 - 1e-4, 4001)
 _NORMAL = np.array([_INVERSE(x) for x in _GRID])
+_Z = np.linspace(-8, 8, 16_001)
+_PHI = np.array([NormalDist().cdf(x) for x in _Z])
 
 
-def synthesize(df: DataFrame, rows: int | None = None, seed: int = 42, key: str | None = None) -> DataFrame:
+def synthesize(df: DataFrame, rows: int | None = None, seed: int = 42, key: str | None = None, numbered: bool = False) -> DataFrame:
     """Synthetic rows like df, as many as df has unless told otherwise (SYN-01). An empty table gives an empty one."""
     model = Copula(df)
     if not model.rows:
-        return df.limit(0)
-    return model.sample(df.sparkSession, model.rows if rows is None else rows, seed, key)
+        return df.limit(0).withColumn("__row", F.lit(0)) if numbered else df.limit(0)
+    return model.sample(df.sparkSession, model.rows if rows is None else rows, seed, key, numbered)
 
 
 def synthesize_database(tables: dict[str, DataFrame], primary: dict[str, str], foreign: list[tuple[str, str, str, str]], scale: float = 1.0, seed: int = 42) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
@@ -185,7 +235,7 @@ def synthesize_database(tables: dict[str, DataFrame], primary: dict[str, str], f
     for i, t in enumerate(order):
         df = tables[t]
         spark = df.sparkSession
-        out = synthesize(df, max(0, round(sizes[t] * scale)), seed + i, primary.get(t))
+        out = synthesize(df, max(0, round(sizes[t] * scale)), seed + i, primary.get(t), numbered=True)
         for child, column, parent, key in foreign:
             if child != t or (child, parent) in dropped:
                 continue
@@ -197,7 +247,7 @@ def synthesize_database(tables: dict[str, DataFrame], primary: dict[str, str], f
                 upto.append(upto[-1] + r["n"] * r["parents"] / total)
                 at.append(at[-1] + r["parents"] / real)
             share = min(1.0, real / max(1, sizes[parent]))
-            u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{column}"), F.monotonically_increasing_id().cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+            u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{column}"), F.col("__row").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
             place = F.lit(0.0)
             for a0, a1, b0, b1 in zip(upto, upto[1:], at, at[1:]):
                 if a1 > a0:

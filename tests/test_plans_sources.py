@@ -161,6 +161,16 @@ def test_synthesis_keeps_shape(spark):
     assert synthesis.synthesize(df.limit(0)).count() == 0
 
 
+def test_rare_values_are_scored_and_drawn(spark, monkeypatch):
+    monkeypatch.setattr(synthesis, "TOP_VALUES", 20)
+    names = [f"v{i:02d}" for i in range(60) for _ in range(40 if i < 5 else 4)] + [None] * 60
+    df = spark.createDataFrame([(i, x, float(i)) for i, x in enumerate(names)], "id bigint, c string, y double")
+    out = synthesis.synthesize(df, 4000, key="id")
+    share = {r.c: r.n / 4000 for r in out.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    assert set(share) == set(names) and out.dtypes == df.dtypes
+    assert all(abs(share[x] - names.count(x) / len(names)) < 0.03 for x in share)
+
+
 def test_synthetic_children_have_parents(spark):
     p = spark.createDataFrame([(i, f"p{i}") for i in range(1, 51)], "pk bigint, name string")
     c = spark.createDataFrame([(i, 1 if i % 3 == 0 else i % 50 + 1, 1.0 * i) for i in range(1, 301)], "ck bigint, pk bigint, v double")
