@@ -34,17 +34,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p1_tables")
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, documents and children without a parent of every flat table."""
+    """Rows, documents, different keys and children without a parent of every flat table."""
     tables = nested.flatten(table(spark, d, "catalog_raw"))
-    parents = tables["source"].select("pk").unionByName(tables["sheet"].select("pk")).unionByName(tables["column"].select("pk"))
-    counted, orphans = [], []
-    for tag, t in tables.items():
-        counted.append(t.select(F.lit(tag).alias("tag"), "record_id", F.lit(0).alias("orphan")))
-        if tag != "source":
-            held = t.select(F.regexp_replace("parent_pk", "/[trd]$", "").alias("pk"))
-            orphans.append(held.join(parents, "pk", "left_anti").select(F.lit(tag).alias("tag"), F.lit(None).cast("bigint").alias("record_id"), F.lit(1).alias("orphan")))
-    rows = reduce(DataFrame.unionByName, counted + orphans)
-    return rows.groupBy("tag").agg(F.sum(1 - F.col("orphan")).alias("rows"), F.countDistinct("record_id").alias("documents"), F.sum("orphan").alias("orphans"))
+    parents = reduce(DataFrame.unionByName, [tables[tag].select(F.col("pk").alias("parent_pk")) for tag in ("record", "source", "sheet", "column")])
+    each = reduce(DataFrame.unionByName, [t.select(F.lit(tag).alias("tag"), "record_id", "pk", "parent_pk") for tag, t in tables.items()])
+    lost = each.where("tag != 'record'").join(parents, "parent_pk", "left_anti").groupBy("tag").agg(F.count("*").alias("orphans"))
+    rows = each.groupBy("tag").agg(F.count("*").alias("rows"), F.countDistinct("record_id").alias("documents"), F.countDistinct("pk").alias("keys"))
+    return rows.join(F.broadcast(lost), "tag", "left").select("tag", "rows", "documents", "keys", F.coalesce("orphans", F.lit(0)).alias("orphans"))
 
 
 # ---------------------------------------------------------------- problem 2

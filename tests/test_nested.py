@@ -2,6 +2,7 @@ import json
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lavra.operators import nested
 
@@ -35,8 +36,30 @@ def test_repeats_are_marked_and_parents_exist(spark):
     df = spark.createDataFrame([(1, text), (None, text)], "record_id bigint, payload string")
     tables = nested.flatten(df)
     assert tables["column"].count() == 4 and tables["column"].where("is_first").count() == 2
-    parents = {r.pk for r in tables["source"].collect()}
-    assert all(r.parent_pk[:-2] in parents for r in tables["column"].collect())
+    assert tables["record"].count() == 2 and tables["record"].select("pk").distinct().count() == 2
+    assert tables["column"].select("pk").distinct().count() == 4
+    assert tables["column"].join(tables["source"].select(F.col("pk").alias("parent_pk")), "parent_pk", "left_anti").count() == 0
+
+
+def test_every_parent_key_is_a_key(spark):
+    df = spark.createDataFrame([(1, json.dumps(DOC)), (1, json.dumps(DOC)), (None, json.dumps(DOC))], "record_id bigint, payload string")
+    tables = nested.flatten(df)
+    keys = [r.pk for tag in ("record", "source", "sheet", "column") for r in tables[tag].collect()]
+    assert len(keys) == len(set(keys))
+    for tag, t in tables.items():
+        assert tag == "record" or {r.parent_pk for r in t.collect()} <= set(keys)
+    branches = {(r.item, r.branch) for r in tables["column"].collect()}
+    assert {("x", "columns"), ("k", "response"), ("y/z", "fields"), ("c1", "columns")} <= branches
+
+
+def test_nothing_said_is_dropped(spark):
+    column = {"name": "c", "type": "float", "stats": {"min": 4, "max": "2020-01-01", "mean": 1.5, "p50": 2}, "cardinality": "many", "is_pk": True, "unit": "kg"}
+    source = {"type": "api", "key": "e", "data_quality": {"null_rates": {"c": 0.5}}, "response_schema": {"format": "paginated", "next": "n", "result_object_fields": [column]}, "owner": ["x"], "embedding_hint": "h"}
+    tables = nested.flatten(spark.createDataFrame([(1, json.dumps({"_schema_version": "1.0", "metadata": {"a": 1}, "sources": source, "else": 5}))], "record_id bigint, payload string"))
+    r, s, c = (tables[t].first() for t in ("record", "source", "column"))
+    assert (r.schema_version, json.loads(r.metadata), json.loads(r.rest)) == ("1.0", {"a": 1}, {"else": 5})
+    assert (s.response_format, json.loads(s.data_quality), s.embedding_hint, json.loads(s.rest)) == ("paginated", {"null_rates": {"c": 0.5}}, "h", {"owner": ["x"], "response_schema": {"next": "n"}})
+    assert (c.type, c.min, c.max, c["mean"], c.is_pk, c.cardinality, json.loads(c.rest)) == ("float", "4", "2020-01-01", 1.5, True, None, {"stats": {"p50": 2}, "cardinality": "many", "unit": "kg"})
 
 
 def test_entries_of_lists_without_a_name():
@@ -61,4 +84,4 @@ json_values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(m
 def test_any_document_is_walked(value):
     document = nested.parse(json.dumps({"sources": value}))
     for row in nested.visit(1, document):
-        assert row[0] in nested.PAYLOADS and json.loads(row[-1]) is not None
+        assert row[0] in nested.PAYLOADS and json.loads(row[-2]) is not None and (row[-1] is None or json.loads(row[-1]))
