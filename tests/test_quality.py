@@ -68,6 +68,11 @@ def test_findings_equal_brute_force(spark, big):
     assert got.count() == got.distinct().count()
 
 
+def two_sample(spark, loads, told):
+    data = make(spark, loads)
+    return {r.column_name: r for r in quality.two_sample(data, quality.value_counts(data, ["c", "k", "n"]), told, forms(spark)).collect()}
+
+
 def test_empty_tables(spark):
     none = make(spark, {})
     loads = spark.createDataFrame([], LOADS)
@@ -81,8 +86,7 @@ def test_two_sample_tells_shifted_columns(spark):
     rng = random.Random(1)
     loads = {1: [(rng.choice("abc"), "AB", 1) for _ in range(400)], 2: [(rng.choice("cde"), "AB", 1) for _ in range(400)]}
     told = spark.createDataFrame([(2, 1, 400, 3)], LOADS)
-    sizes = spark.createDataFrame([(1, 400), (2, 400)], "load_id bigint, row_count bigint")
-    got = {r.column_name: r for r in quality.two_sample(make(spark, loads), told, forms(spark), sizes).collect()}
+    got = two_sample(spark, loads, told)
     assert got["c"].auc > 0.75 and got["c"].ablation > 0.2 and got["c"].value_cross > 0.2
     assert abs(got["k"].ablation) < 0.05 and got["k"].value_fit == 0
 
@@ -93,6 +97,24 @@ def test_a_shift_of_few_values_in_large_loads_is_found(spark):
     told = [(1, None, 30_000, 3), (2, 1, 30_000, 3)]
     told, declared = spark.createDataFrame(told, LOADS), spark.createDataFrame([], "load_id bigint, column_name string, null_rate double, cardinality bigint")
     assert {tuple(r) for r in quality.findings(make(spark, loads), told, declared, forms(spark)).collect()} == {(2, "c", "value_shift")}
-    sizes = spark.createDataFrame([(1, 30_000), (2, 30_000)], "load_id bigint, row_count bigint")
-    got = {r.column_name: r for r in quality.two_sample(make(spark, loads), told, forms(spark), sizes).collect()}
+    got = two_sample(spark, loads, told)
     assert got["c"].value_fit == pytest.approx(0.15) and got["c"].null_fit == pytest.approx(0)
+
+
+@pytest.mark.parametrize("chunk", [2048, 16])
+def test_the_joint_model_tells_columns_in_one_chunk_or_many_and_ignores_file_layout(spark, monkeypatch, chunk):
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    rng = random.Random(3)
+    loads = {1: [(rng.choice("abc"), rng.choice(["AB", "CD"]), rng.randint(0, 9)) for _ in range(6000)], 2: [(rng.choice("abcc"), rng.choice(["AB", "CD"]), rng.randint(0, 9)) for _ in range(9000)]}
+    told = spark.createDataFrame([(2, 1, 9000, 3)], LOADS)
+    got = two_sample(spark, loads, told)
+    # the best score ranks c above a and b: 1/2 of the later rows against 2/3 of the earlier, ties count half
+    assert got["c"].auc == pytest.approx(7 / 12, abs=0.02) and got["c"].ablation > 0.05 and abs(got["k"].ablation) < 0.02 and abs(got["n"].ablation) < 0.02
+    again = two_sample(spark, {k: sorted(v, key=str) for k, v in loads.items()}, told)
+    assert all(got[c].auc == pytest.approx(again[c].auc) and got[c].ablation == pytest.approx(again[c].ablation) for c in "ckn")
+
+
+def test_repeated_rows_weigh_as_often_as_they_occur(spark):
+    loads = {1: [("a", "AB", 1)] * 5000 + [("b", "AB", 1)] * 5000, 2: [("a", "AB", 1)] * 9000 + [("b", "AB", 1)] * 1000}
+    got = two_sample(spark, loads, spark.createDataFrame([(2, 1, 1, 1)], LOADS))
+    assert got["c"].value_fit == pytest.approx(0.2) and got["c"].n == 20_000
