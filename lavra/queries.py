@@ -95,11 +95,11 @@ _CATEGORIES = "column_name in (select column_name from column_formats where kind
 @query("p2_distances", f"""with cells as ({_CELLS}), n as (select load_id, column_name, count(*) as n, count(v) as m from cells group by all),
 pairs as (select distinct l.load_id, l.previous_load_id from catalog_loads l where l.load_id in (select load_id from n) and l.previous_load_id in (select load_id from n)),
 cat as (select load_id, column_name, v, count(*) as k from cells where v is not null and {_CATEGORIES} group by all),
-both as (select p.load_id, p.previous_load_id, a.column_name, a.m as m1, b.m as m0, abs(a.m / a.n - b.m / b.n) as null_gap from pairs p join n a on a.load_id = p.load_id join n b on b.load_id = p.previous_load_id and b.column_name = a.column_name),
-sides as (select b.load_id, b.column_name, c.v, c.k / b.m1 as s from both b join cat c on c.load_id = b.load_id and c.column_name = b.column_name
-  union all select b.load_id, b.column_name, c.v, -c.k / b.m0 from both b join cat c on c.load_id = b.previous_load_id and c.column_name = b.column_name),
+pr as (select p.load_id, p.previous_load_id, a.column_name, a.m as m1, b.m as m0, abs(a.m / a.n - b.m / b.n) as null_gap from pairs p join n a on a.load_id = p.load_id join n b on b.load_id = p.previous_load_id and b.column_name = a.column_name),
+sides as (select b.load_id, b.column_name, c.v, c.k / b.m1 as s from pr b join cat c on c.load_id = b.load_id and c.column_name = b.column_name
+  union all select b.load_id, b.column_name, c.v, -c.k / b.m0 from pr b join cat c on c.load_id = b.previous_load_id and c.column_name = b.column_name),
 d as (select load_id, column_name, sum(abs(s)) / 2 as gap from (select load_id, column_name, v, sum(s) as s from sides group by all) group by 1, 2)
-select load_id, column_name, round(null_gap, 6) as null_gap, round(case when m1 > 0 and m0 > 0 then coalesce(gap, 0) else 0 end, 6) as value_gap from both left join d using (load_id, column_name) where {_CATEGORIES}""")
+select load_id, column_name, round(null_gap, 6) as null_gap, round(case when m1 > 0 and m0 > 0 then coalesce(gap, 0) else 0 end, 6) as value_gap from pr left join d using (load_id, column_name) where {_CATEGORIES}""")
 def p2_distances(spark: SparkSession, d: str) -> DataFrame:
     """Distances between successive loads as the one-column models give them: twice their fit."""
     formats = table(spark, d, "column_formats").where("kind in ('category', 'flag')").select("column_name")
