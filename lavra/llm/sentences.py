@@ -2,8 +2,10 @@
 
 A text falls into blocks at blank lines, a block into list items and paragraphs. In a paragraph every mark that may end a
 sentence (and in Thai every space) is a candidate. Semi-Markov dynamic programming picks the spans between candidates
-whose scores sum highest; a span scores the words that close it and that open what follows, its length, and the quotations
-and brackets that its end would cut.
+whose scores sum highest. A span (i, j) is scored as a whole: the words that open it and what opens it against what closes it (a
+question against a question mark), the words that close it, its length and whether it has a word of its own, and every
+quotation or bracket that it opens without closing or closes without opening. Spans up to LONG characters are scored one by
+one; of longer ones all terms but a linear length depend on few kinds of start, so a running maximum for each kind is exact.
 
 Defined results: null, empty and blank texts have no units; offsets count code points of the text as given, with its own
 line ends; a unit has no white space at either end. Any text of any length is split whole: a span may hold any
@@ -13,7 +15,7 @@ number of rejected candidates.
 from __future__ import annotations
 
 import re
-from collections import deque
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +55,15 @@ OPENING = frozenset(
 #: Words that carry on after dots of omission or an abbreviation.
 CARRY_ON = frozenset("mas porém e ou nem but yet and or pero y mais et aber und oder doch sondern но и а para for pour für zum".split())
 
+#: Words with which a question begins.
+ASKING = frozenset("quem quando onde como quanto quantos quantas qual quais quién dónde cuándo cuántas cuántos cuál qué who where when why how what which où qui combien wer wo wann wie warum кто где когда сколько".split())
+
+#: What a span loses: by letter beyond LONG letters, without a word of its own, by candidate inside for each end of a quotation that it breaks.
+LONG, PER_LETTER, WORDLESS, BREAK = 400, 0.004, 2.0, 4.0
+
+#: Ends of listed words; a longer run of letters that ends otherwise is no abbreviation.
+TAILS = frozenset(w[-4:] for w in BEFORE | NUMBERED | EITHER if len(w) > 3)
+
 END = "!?。！？｡؟۔।॥።՞։…․.‼⁇⁈⁉;"
 STRONG = frozenset("!?。！？｡؟۔।॥።։‼⁇⁈⁉")
 CLOSERS = "\"”»’'›)]}」』）】〉》〕｣“"
@@ -66,6 +77,10 @@ BULLET = re.compile(r"\s*([-*•‣◦▪–—·])\s+\S")
 NUMBERING = re.compile(r"\s*(?:\(?\d{1,3}[.)]|\(?[a-z]\)|[A-Z]\)|\(?[ivx]{1,4}\)|[IVX]{2,4}[.)])\s+\S")
 TOKEN_BACK = re.compile(r"[^\s\"“”«»()\[\]（）「」,;:!?¿¡]+$")
 WORD = re.compile(r"[^\W\d_]+(?:'|’)?|\d+")
+QUOTE = re.compile("[" + re.escape('"' + "".join(PAIRS) + "".join(PAIRS.values())) + "]")
+OPENED = re.compile(r"[\s\"“«‘'‹(\[{「『（【〈《〔｢„¿¡—–-]*")
+LETTERS = re.compile(r"[^\W\d_]+")
+LONG_WORD = re.compile(r"[^\W\d_]{6,}")
 GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
@@ -105,19 +120,27 @@ def pieces(text: str, a: int, b: int) -> Iterator[tuple[int, int, bool]]:
     yield begin, b, item
 
 
-def _depths(text: str, a: int, b: int) -> list[int]:
-    """For every position, how many matched quotations and brackets are open before it; unmatched ones don't count."""
-    change = [0] * (b - a + 2)
+class _Level:
+    """A matched quotation or bracket: what breaking it costs with all around it, and the longest-span starts inside."""
+
+    __slots__ = ("up", "depth", "end", "cost", "starts")
+
+    def __init__(self, up: _Level | None, end: int, cost: float):
+        self.up, self.end, self.starts = up, end, {}
+        self.depth, self.cost = (up.depth + 1, up.cost + cost) if up else (0, 0.0)
+
+
+def pairs(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """(start, end) of matched quotations and brackets in order of their starts; unmatched ones don't count."""
+    out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     waiting: dict[str, int] = {}
-    for i in range(a, b):
-        ch = text[i]
+    for m in QUOTE.finditer(text, a, b):
+        ch, i = m.group(), m.start()
         if ch == '"':
             before, after = (text[i - 1] if i > a else " "), (text[i + 1] if i + 1 < b else " ")
             if stack and stack[-1][0] == '"' and not (before.isspace() and not after.isspace()):
-                _, at = stack.pop()
-                change[at - a + 1] += 1
-                change[i - a + 1] -= 1
+                out.append((stack.pop()[1], i))
             elif not after.isspace():
                 stack.append(('"', i))
         elif ch in PAIRS and not (stack and ch == stack[-1][0]):
@@ -128,17 +151,37 @@ def _depths(text: str, a: int, b: int) -> list[int]:
                 lost, _ = stack.pop()
                 if lost != '"':
                     waiting[lost] -= 1
-            _, at = stack.pop()
+            out.append((stack.pop()[1], i))
             waiting[ch] -= 1
-            change[at - a + 1] += 1
-            change[i - a + 1] -= 1
-    out, now = [], 0
-    for c in change:
-        now += c
+    return sorted(out)
+
+
+def _levels(found: list[tuple[int, int]], ends: list[int]) -> list[_Level]:
+    """The innermost quotation or bracket around each end. Breaking one costs more than all cuts inside could earn."""
+    top = _Level(None, ends[-1], 0.0)
+    out, now, k = [], top, 0
+    for x in ends:
+        while now.up and now.end < x:
+            now = now.up
+        while k < len(found) and found[k][0] < x:
+            start, end = found[k]
+            k += 1
+            if end >= x:
+                inside = bisect_right(ends, end) - bisect_right(ends, start)
+                now = _Level(now, end, BREAK * max(1, inside))
         out.append(now)
     return out
 
 
+def _common(x: _Level, y: _Level) -> _Level:
+    while x is not y:
+        if x.depth >= y.depth:
+            x = x.up
+        else:
+            y = y.up
+    return x
+
+
 def closing(text: str, a: int, m: re.Match) -> float:
     """How well the words before a mark close a sentence."""
     i, marks = m.start(), m.group().rstrip(CLOSERS)
@@ -180,7 +223,7 @@ def closing(text: str, a: int, m: re.Match) -> float:
             return -6.0
         if token.isupper():
             return -1.5
-        return 1.0 if token.islower() else 3.0
+        return 0.5 if token.islower() else 3.0
     if low in BEFORE:
         return -6.0
     if low in EITHER:
@@ -254,6 +297,8 @@ def opening(text: str, m: re.Match, b: int) -> float:
     if word[:1].islower():
         if quoted:
             return -9.0
+        if len(word) == 1 and text[j + 1 : j + 2] == "." and text[j + 2 : j + 4].strip()[:1].isupper() and text[m.start() - 2 : m.start()].isalnum():
+            return -0.5  # an initial where sentences begin in lower case
         if low in CARRY_ON:
             return -3.5
         return -0.5 if low in OPENING else -2.0
@@ -266,46 +311,102 @@ def opening(text: str, m: re.Match, b: int) -> float:
     return 2.5 if low in OPENING else 1.0
 
 
+def _kind(text: str, i: int, b: int) -> int:
+    """What opens a span: 1 an inverted question mark, 2 an inverted exclamation mark, 3 a word that asks, else 0."""
+    m = OPENED.match(text, i, b)
+    if "¿" in m.group() or "¡" in m.group():
+        return 1 if "¿" in m.group() else 2
+    word = WORD.match(text, m.end(), b)
+    return 3 if word and word.group().lower() in ASKING else 0
+
+
+def _agree(opened: int, mark: str) -> float:
+    """How what opens a span agrees with the mark that closes it."""
+    if opened == 3:
+        return 0.6 if mark in "?？" else 0.0
+    wanted = ("", "?", "!")[opened]
+    return 0.0 if not wanted else 1.0 if mark == wanted else -1.5
+
+
+def _has_word(text: str, i: int, j: int) -> bool:
+    """Whether a span has a word of its own: one that is neither an abbreviation, a single letter nor a number."""
+    if LONG_WORD.search(text, i, j):
+        return True
+    return any(t not in BEFORE and (len(t) > 1 or not t.isascii()) for t in (m.group().lower() for m in LETTERS.finditer(text, i, j)))
+
+
+def candidates(text: str, a: int, b: int) -> list[tuple[int, float, str]]:
+    """(end, score, mark) of every place inside text[a:b] where a sentence may end, by the words before and after it."""
+    marks: list[tuple[int, float, str]] = []
+    for m in CANDIDATE.finditer(text, a, b):
+        x, y = m.start(), m.end()
+        if y < b:
+            if y - x == 1 and text[x] == "." and text[y].isspace() and text[y + 1 : y + 2].isupper() and text[y + 2 : y + 3].islower():
+                tail = text[max(a, x - 4) : x]
+                if len(tail) == 4 and tail.isalpha() and tail.islower() and tail not in TAILS:
+                    # a plain word before and a plain word after: what closing() and opening() would say
+                    marks.append((y, 5.5 if WORD.match(text, y + 1, b).group().lower() in OPENING else 4.0, "."))
+                    continue
+            score = closing(text, a, m)
+            if score > -20:
+                score += opening(text, m, b)
+                if score > -20:
+                    marks.append((m.end(), score, m.group().rstrip(CLOSERS)[-1:]))
+    thai = [(m.start(), 2.0, " ") for m in THAI_GAP.finditer(text, a, b)]
+    return sorted(marks + thai) if thai else marks
+
+
 def split_paragraph(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Sentence spans of text[a:b], which holds no blank line."""
-    marks: list[tuple[int, float]] = []
-    depth = _depths(text, a, b)
-    for m in CANDIDATE.finditer(text, a, b):
-        cut = m
-        score = closing(text, a, cut)
-        if score <= -20:
-            continue
-        score += opening(text, cut, b)
-        if score > -20 and cut.end() < b:
-            marks.append((cut.end(), score - 6.0 * max(0, depth[cut.end() - a])))
-    for m in THAI_GAP.finditer(text, a, b):
-        marks.append((m.start(), 2.0 - 6.0 * max(0, depth[m.start() - a])))
+    marks = candidates(text, a, b)
     if not marks:
         return [(a, b)]
-    marks.sort()
-    ends = [a, *(x for x, _ in marks), b]
-    gain = [0.0, *(s for _, s in marks), 0.0]
-    best, back = [0.0] + [float("-inf")] * (len(ends) - 1), [0] * len(ends)
-    # best start of every kind of span: under 4 characters one by one, up to 400 the window's maximum, beyond it a running one
-    window, near, far, longest = deque(), 0, 0, None
+    ends = [a, *(x for x, _, _ in marks), b]
+    last = CANDIDATE.findall(text, max(a, b - 8), b)
+    gain = [0.0, *(s for _, s, _ in marks), 0.0]
+    mark = ["", *(t for _, _, t in marks), last[-1].rstrip(CLOSERS)[-1:] if last else ""]
+    kind = [_kind(text, x, b) for x in ends]
+    level = _levels(pairs(text, a, b), ends)
+    worded = [False, *(_has_word(text, ends[j - 1], ends[j]) for j in range(1, len(ends)))]
+    best, back, near = [0.0] * len(ends), [0] * len(ends), 0
     for j in range(1, len(ends)):
-        while ends[j] - ends[near] >= 4:
-            while window and best[window[-1]] < best[near]:
-                window.pop()
-            window.append(near)
+        end, around = ends[j], level[j]
+        while end - ends[near] > LONG:
+            # this start and all before it make long spans from here on: only the best of its kind and level is kept
+            home = level[near]
+            while home.end < end and home.up:
+                home = home.up
+            value = best[near] - level[near].cost + PER_LETTER * ends[near]
+            if home.starts.get(kind[near], (float("-inf"), 0))[0] < value:
+                home.starts[kind[near]] = (value, near)
             near += 1
-        while ends[j] - ends[far] > 400:
-            if longest is None or best[far] + 0.004 * ends[far] > best[longest] + 0.004 * ends[longest]:
-                longest = far
-            far += 1
-        while window and window[0] < far:
-            window.popleft()
-        starts = [*([] if longest is None else [longest]), *([window[0]] if window else []), *range(near, j)]
-        for i in starts:
-            size = ends[j] - ends[i]
-            long = -0.004 * max(0, size - 400) - (1.5 if size < 4 else 0.0)
-            if best[i] + gain[j] + long > best[j]:
-                best[j], back[j] = best[i] + gain[j] + long, i
+        top, at, own = float("-inf"), 0, False
+        for i in range(j - 1, near - 1, -1):
+            own = own or worded[i + 1]
+            score = best[i] - level[i].cost + _agree(kind[i], mark[j])
+            if level[i].cost:
+                score += 2 * _common(level[i], around).cost
+            if end - ends[i] < 4:
+                score -= 1.5
+            if not own:
+                score -= WORDLESS
+            if score > top:
+                top, at = score, i
+        home = around
+        while home:
+            for opened, (value, i) in home.starts.items():
+                score = value + 2 * home.cost + _agree(opened, mark[j]) - PER_LETTER * (end - LONG)
+                if score > top:
+                    top, at = score, i
+            home = home.up
+        # quotations that end before the next end hand their starts to what is around them
+        home = around
+        while home.up and j + 1 < len(ends) and home.end < ends[j + 1]:
+            for opened, (value, i) in home.starts.items():
+                if home.up.starts.get(opened, (float("-inf"), 0))[0] < value:
+                    home.up.starts[opened] = (value, i)
+            home.starts, home = {}, home.up
+        best[j], back[j] = top + gain[j] - around.cost, at
     spans, j = [], len(ends) - 1
     while j > 0:
         spans.append((ends[back[j]], ends[j]))
