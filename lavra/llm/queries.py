@@ -87,9 +87,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p5_evidence")
 def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Fields by sign, shared terms and repetition."""
+    """Fields by strength of the sign and by what record and host say; flagged counts what is reported."""
     told = residue.evidence(table(spark, d, "catalog_sources"))
-    return told.groupBy("campo", "sign", (F.col("shared") > 0).alias("names_itself"), (F.col("same") >= residue.DUPLICATED).alias("duplicated")).agg(F.count("*").alias("fields"))
+    kinds = ["campo", "sign", (F.col("shared") > 0).alias("names_itself"), (F.col("terms") <= residue.LOW_INFORMATION).alias("says_little"), (F.col("same") >= residue.DUPLICATED).alias("repeated")]
+    return told.groupBy(*kinds).agg(F.count("*").alias("fields"))
 
 
 # ---------------------------------------------------------------- problem 3
