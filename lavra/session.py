@@ -53,12 +53,12 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    _remember(spark, path)
+    remember(spark, path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remember(spark: SparkSession, path: str) -> None:
+def remember(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if not hasattr(sc, "_lavra_written"):
         sc._lavra_written = []
