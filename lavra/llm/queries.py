@@ -69,8 +69,8 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- problem 7
 @query("p7_found")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    index = leakage.build_index(table(spark, d, "documents"))
-    return leakage.search(index, leakage.prepare_items(table(spark, d, "eval_items"))).select("doc_id", "item_id").distinct()
+    docs = table(spark, d, "documents")
+    return leakage.search(leakage.build_index(docs), docs, leakage.prepare_items(table(spark, d, "eval_items"))).select("doc_id", "item_id").distinct()
 
 
 # ---------------------------------------------------------------- problem 8

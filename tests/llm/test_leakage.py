@@ -38,7 +38,7 @@ def brute(docs, items, skips):
 def run(spark, docs, items):
     d = spark.createDataFrame([(k, v, "x", 1) for k, v in docs.items()], "doc_id bigint, text string, term string, pos int")
     i = spark.createDataFrame([(k, v, "x") for k, v in items.items()], "item_id bigint, text string, words string")
-    return {(r.doc_id, r.item_id) for r in leakage.search(leakage.build_index(d), leakage.prepare_items(i)).collect()}
+    return {(r.doc_id, r.item_id) for r in leakage.search(leakage.build_index(d), d, leakage.prepare_items(i)).collect()}
 
 
 def test_equals_brute_force(spark):
@@ -74,3 +74,23 @@ def test_accents_case_and_copies(spark):
 
 def test_empty_tables(spark):
     assert run(spark, {}, {1: "a b c"}) == set() and run(spark, {1: "a b c"}, {}) == set() and run(spark, {1: None}, {1: None}) == set()
+
+
+def test_short_items_equal_brute_force(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = {k: " ".join(rng.choice(vocabulary) for _ in range(k % 8 + 1)) for k in range(1, 25)}
+    docs = {k: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14))) for k in range(60)} | {100 + k: v for k, v in items.items()}
+    assert run(spark, docs, items) == brute(docs, items, {})
+
+
+def test_an_index_is_opened_again_and_long_documents_are_judged_by_stretches(spark, tmp_path):
+    rng = random.Random(4)
+    item = " ".join(f"t{rng.randint(0, 300)}" for _ in range(60))
+    noise = " ".join(f"t{rng.randint(0, 300)}" for _ in range(60_000))
+    docs = spark.createDataFrame([(1, noise), (2, noise[:100_000] + " " + item + " " + noise[100_000:]), (None, item)], "doc_id bigint, text string")
+    built = leakage.build_index(docs, path=f"file://{tmp_path}/index")
+    assert built.dictionary.agg({"n": "sum"}).first()[0] == built.postings.count()
+    again = leakage.open_index(spark, f"file://{tmp_path}/index")
+    asked = leakage.prepare_items(spark.createDataFrame([(7, item)], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in leakage.search(again, docs, asked).collect()} == {(2, 7)}
