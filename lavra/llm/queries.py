@@ -109,3 +109,10 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     resolved = materialize(canonical.resolve(values, entries), "resolved")
     cells = rows.select(*canonical.FIELDS).unpivot([], list(canonical.FIELDS), "campo", "value").groupBy("campo", "value").agg(F.count("*").alias("rows"))
     return cells.join(resolved.where("ref_id = 0"), ["campo", "value"]).select("campo", "value", "rows")
+
+
+@query("p3_stages")
+def p3_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values by the stage that named their entry."""
+    rows, entries = table(spark, d, "distribuicao_d_sup"), table(spark, d, "ref_entries")
+    return canonical.resolve(canonical.distinct_values(rows, canonical.FIELDS, entries), entries).groupBy("campo", "stage").agg(F.count("*").alias("values"))

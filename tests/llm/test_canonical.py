@@ -52,3 +52,26 @@ def test_held_out_noise(spark, data):
             right += got == ref
             wrong += got not in (0, ref)
     assert right / total > 0.97 and wrong / total < 0.01
+
+
+@pytest.mark.parametrize("value,stage,ref", [
+    ("radio transceptor naval", "name", 1), ("segue Rádio transceptor naval hoje", "embedded", 1), ("Rdio transc. veicular RT-823", "embedded", 3), ("LH-267 fone c/ microfone", "embedded", 5), ("Uniforme de gala LH-267", "none", 0), ("Rádio transceptor naval dipolo", "none", 0), ("Rad transc naval", "similar", 1), ("Bolsa", "none", 0),
+])
+def test_stages(value, stage, ref):
+    m = canonical.Mapper(ENTRIES)
+    assert m.resolve(value) == ref and (m.read(value)[0] if ref else "none") == stage
+
+
+def test_tokens_alike():
+    like = canonical.tokens_alike
+    assert like("radio", "radio") == 1 and like("rd", "radio") == 0.9 and like("transc", "transceptor") == 0.9 and like("trasnceptor", "transceptor") > 0.6 and like("naval", "dipolo") == 0 and like("", "x") == 0
+
+
+@pytest.mark.parametrize("rows", [2, 3, 5])
+def test_lists_in_blocks_read_as_one(spark, monkeypatch, rows):
+    values = [v for v, _ in [("RADIO TRANSCEPTOR NAVAL", 1), ("Rdio transceptor navla", 1), ("Rádio transceptor", 0), ("rt 823", 3), ("grdr dsl estnq", 6), ("Rd trnscptr", 0), ("LH-267 fone c/ microfone", 5), ("nada", 0), ("Painel slar dobr KF74", 7)]]
+    cells = spark.createDataFrame([("item", v) for v in values] + [("om_destino", "9o. Esqd de Vig Morro Cinza"), ("om_destino", "Morro Cinza")], "campo string, value string")
+    refs = spark.createDataFrame([(i, "item", n, a) for i, n, a in ENTRIES] + [(i, "om_destino", n, a) for i, n, a in UNITS], "ref_id bigint, campo string, canonical string, alias string")
+    whole = {tuple(r) for r in canonical.resolve(cells, refs).collect()}
+    monkeypatch.setattr(canonical, "REFERENCE_ROWS", rows)
+    assert {tuple(r) for r in canonical.resolve(cells, refs).collect()} == whole and len(whole) == len(values) + 2
