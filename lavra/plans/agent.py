@@ -18,6 +18,7 @@ from lavra.plans.guard import check
 MAX_ROWS, DEPENDENCY_ROWS, ANSWER_ROWS, RETRIES = 1000, 3, 10, 1
 
 
+# The kinds of sources and operations, and the field names of a plan, as planners write them.
 class SourceType(enum.Enum):
     SQL = "sql"
     API = "api"
@@ -81,19 +82,28 @@ class Response:
     results: list[StepResult]
     cited: list[str]
     seconds: dict[str, float]
+    selected: list[str] = field(default_factory=list)
 
     @property
     def has_unanswered_steps(self) -> bool:
         return any(r.status is not Status.SUCCESS for r in self.results)
 
     def display(self) -> str:
-        """Answer, plan and evidence as text, results matched to steps by id (AGT-10)."""
+        """Three layers as text: selected sources, plan with query, rows and error of each step, answer with its sources (AGT-10).
+
+        Results are matched to steps by id; a step without one is pending.
+        """
         by_id = {r.step_id: r for r in self.results}
-        out = ["## Resposta", self.answer, "", "## Plano"]
+        out = [f"# {self.query}", "", "## Fontes selecionadas", *([f"- {c}" for c in self.selected] or ["- none"]), "", "## Plano"]
         for s in self.steps:
             r = by_id.get(s.id)
-            out.append(f"{s.id}. {s.description} [{s.source_id}] -> {r.status.value if r else 'pending'}" + (f" ({r.row_count} rows)" if r and r.status is Status.SUCCESS else ""))
-        out += ["", "## Fontes", *([f"- {c}" for c in self.cited] or ["- none"])]
+            out.append(f"{s.id}. [{r.status.value if r else 'pending'}] {s.operation.value} {s.source_id}: {s.description}")
+            if r:
+                out.append(f"   consulta: {r.sql or '-'}")
+                out.append(f"   linhas: {r.row_count}")
+                if r.error:
+                    out.append(f"   erro: {r.error}")
+        out += ["", "## Resposta", self.answer, "", f"Fontes consultadas: {', '.join(self.cited) or 'none'}"]
         return "\n".join(out)
 
 
@@ -170,7 +180,8 @@ def execute_sql(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> Step
 class Agent:
     """Answers questions over temporary views; selector, planner, SQL writer and answerer are given or simple defaults."""
 
-    def __init__(self, spark: SparkSession, sources: Mapping[str, DataFrame], select: Callable[[str], list[str]], plan: Callable[[str, list[str]], list[Step]], write_sql: Callable[[Step, dict[int, StepResult], str | None], str] | None = None, answer: Callable[[str, list[Step], list[StepResult]], str] | None = None):
+    def __init__(self, spark: SparkSession, sources: Mapping[str, DataFrame], select: Callable[[str], list[str]], plan: Callable[[str, list[str]], list[Step]], write_sql: Callable[[Step, dict[int, StepResult], str | None], str] | None = None, answer: Callable[[str, list[Step], list[StepResult]], str] | None = None, executable: frozenset[SourceType] = frozenset({SourceType.SQL})):
+        self.executable = executable  # kinds of steps that are run; others end with an error (AGT-06)
         self.spark, self.sources = spark, dict(sources)
         self.select, self.plan = select, plan
         self.write_sql = write_sql or (lambda step, before, error: step.sql or f"SELECT * FROM {view_name(step.source_id)}")
@@ -186,6 +197,8 @@ class Agent:
         """One step with one more try on a failed query; a failed query text is not tried again (AGT-05)."""
         if step.source_id not in self.sources:
             return StepResult(step.id, Status.ERROR, step.source_id, error=f"unknown source {step.source_id}")
+        if step.source_type not in self.executable:
+            return StepResult(step.id, Status.ERROR, step.source_id, error=f"no executor for {step.source_type.value} is implemented")
         context = {d: before[d] for d in step.depends_on if d in before}
         error, result = None, None
         for _ in range(RETRIES + 1):
@@ -219,7 +232,7 @@ class Agent:
         said = self.answer(text, steps, listed)
         lap("answer")
         cited = list(dict.fromkeys(r.source_id for r in listed if r.status is Status.SUCCESS))
-        return Response(text, said, steps, listed, cited, seconds)
+        return Response(text, said, steps, listed, cited, seconds, chosen)
 
 
 def view_name(source_id: str) -> str:

@@ -25,7 +25,7 @@ def _open(request: urllib.request.Request, timeout: float) -> bytes:
 
 @dataclass
 class HttpProvider:
-    """A chat endpoint: `ollama` (local) or `azure` (deployment and key from options or environment)."""
+    """A chat endpoint: `ollama` (local), `azure` or `gemini` (key from options or environment)."""
 
     kind: str
     url: str
@@ -37,17 +37,33 @@ class HttpProvider:
     opener: Opener = _open
 
     def __post_init__(self):
-        if self.kind not in ("ollama", "azure"):
+        if self.kind not in ("ollama", "azure", "gemini"):
             raise ValueError(f"unknown provider {self.kind}")
-        if self.kind == "azure" and self.key is None:
-            self.key = os.environ.get("AZURE_OPENAI_API_KEY") or os.environ.get("AZURE_OPENAI_KEY")
+        names = {"azure": ("AZURE_OPENAI_API_KEY", "AZURE_OPENAI_KEY"), "gemini": ("GOOGLE_API_KEY",)}.get(self.kind, ())
+        if names and self.key is None:
+            self.key = next((os.environ[n] for n in names if os.environ.get(n)), None)
+        if self.kind == "gemini" and not self.key:
+            raise ValueError("GOOGLE_API_KEY is not set")
         self.tokens = 0
 
-    def chat(self, system: str, user: str) -> str:
-        """The model's answer; failed calls are tried again after a pause, the last error is raised."""
-        body = {"model": self.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "stream": False}
-        headers = {"Content-Type": "application/json"} | ({"api-key": self.key} if self.key else {})
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
+    def _request(self, system: str, user: str, schema: dict | None) -> urllib.request.Request:
+        headers = {"Content-Type": "application/json"}
+        if self.kind == "gemini":
+            body: dict = {"contents": [{"parts": [{"text": f"{system}\n\n{user}" if system else user}]}]}
+            if schema is not None:
+                body["generationConfig"] = {"responseMimeType": "application/json"}
+            headers["x-goog-api-key"] = self.key or ""
+        else:
+            body = {"model": self.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "stream": False}
+            if schema is not None:
+                body |= {"format": schema} if self.kind == "ollama" else {"response_format": {"type": "json_object"}}
+            if self.key:
+                headers["api-key"] = self.key
+        return urllib.request.Request(self.url, json.dumps(body).encode(), headers)
+
+    def chat(self, system: str, user: str, schema: dict | None = None) -> str:
+        """The model's answer; with a schema the endpoint is asked for JSON. Failed calls are tried again after a pause, the last error is raised."""
+        request = self._request(system, user, schema)
         for left in range(self.tries - 1, -1, -1):
             try:
                 got = json.loads(self.opener(request, self.timeout))
@@ -59,11 +75,20 @@ class HttpProvider:
         if self.kind == "ollama":
             self.tokens += got.get("prompt_eval_count", 0) + got.get("eval_count", 0)
             return got["message"]["content"]
+        if self.kind == "gemini":
+            self.tokens += got.get("usageMetadata", {}).get("totalTokenCount", 0)
+            return "".join(p.get("text", "") for p in got["candidates"][0]["content"]["parts"])
         self.tokens += got.get("usage", {}).get("total_tokens", 0)
         return got["choices"][0]["message"]["content"]
 
-    def chat_json(self, system: str, user: str) -> dict:
-        return json_object(self.chat(system, user))
+    def chat_json(self, system: str, user: str, schema: dict | None = None) -> dict:
+        """The answer as an object: the text itself, else the first object inside it."""
+        text = self.chat(system, user, {} if schema is None else schema) if self.kind != "ollama" or schema is not None else self.chat(system, user)
+        try:
+            got = json.loads(text)
+        except ValueError:
+            return json_object(text)
+        return got if isinstance(got, dict) else json_object(text)
 
 
 def planner(provider, describe: Callable[[str], str]) -> Callable[[str, list[str]], list[Step]]:

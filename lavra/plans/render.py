@@ -33,22 +33,57 @@ def source_blocks(sources: DataFrame, columns: DataFrame | None = None) -> DataF
     return sources.select("source_id", block.alias("block"))
 
 
+def parameter_lines(parameters: DataFrame) -> DataFrame:
+    """(source_id, parameter_lines): one row for each field of an endpoint's response, example cut at 30 characters (REN-03).
+
+    parameters: source_id, ordinal, column_name, native_type, example.
+    """
+    example = F.when(F.length("example") > EXAMPLE_LENGTH, F.concat(F.substring("example", 1, EXAMPLE_LENGTH), F.lit("..."))).otherwise(F.coalesce("example", F.lit("")))
+    line = F.format_string("| %s | %s | %s |", F.col("column_name"), F.substring(F.coalesce("native_type", F.lit("?")), 1, TYPE_LENGTH), example)
+    listed = F.array_sort(F.collect_list(F.struct("ordinal", "column_name", line.alias("line"))))
+    return parameters.groupBy("source_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("parameter_lines"))
+
+
+def sheet_lines(sheets: DataFrame) -> DataFrame:
+    """(source_id, sheet_lines): each sheet with its rows and columns (REN-04). sheets: source_id, ordinal, sheet, row_count, columns (array)."""
+    line = F.format_string("- **%s** (%s linhas): %s", F.col("sheet"), F.coalesce(F.format_number("row_count", 0), F.lit("?")), F.array_join(F.coalesce("columns", F.array().cast("array<string>")), ", "))
+    listed = F.array_sort(F.collect_list(F.struct("ordinal", "sheet", line.alias("line"))))
+    return sheets.groupBy("source_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("sheet_lines"))
+
+
+def full_blocks(sources: DataFrame, columns: DataFrame | None = None, parameters: DataFrame | None = None, sheets: DataFrame | None = None) -> DataFrame:
+    """(source_id, block): source_blocks() with the response fields of endpoints and the sheets of workbooks (REN-02..05)."""
+    blocks = source_blocks(sources, columns)
+    for made, heading, name in ((None if parameters is None else parameter_lines(parameters), "| campo | tipo | exemplo |\n|---|---|---|", "parameter_lines"), (None if sheets is None else sheet_lines(sheets), "**Planilhas:**", "sheet_lines")):
+        if made is not None:
+            more = F.when(F.col(name).isNotNull(), F.concat(F.lit(heading + "\n"), F.col(name)))
+            blocks = blocks.join(made, "source_id", "left").select("source_id", F.concat_ws("\n", "block", more).alias("block"))
+    return blocks
+
+
 def compressed_lines(sources: DataFrame) -> DataFrame:
     """(source_id, line): id and the first 130 characters of the hint, else of the description (REN-05)."""
     text = F.coalesce(F.when(F.trim("embedding_hint") != "", F.trim("embedding_hint")), F.col("description"), F.lit(""))
     return sources.select("source_id", F.concat(F.lit("- "), F.col("source_id"), F.lit(": "), F.substring(text, 1, HINT_LENGTH)).alias("line"))
 
 
-def context(query: str, blocks: DataFrame, selected: list[str] | None = None) -> str:
-    """Markdown of the selected blocks, or of all; made on the driver from a catalog's few sources."""
-    chosen = blocks if selected is None else blocks.where(F.col("source_id").isin(selected))
-    rows = chosen.orderBy("source_id").collect()
-    return "\n\n".join([f"# Contexto\n\n> {query}", *[r["block"] for r in rows], f"---\n{len(rows)} fontes"])
+def context(query: str, blocks: DataFrame, selected: list[str] | None = None, rules: list[tuple[str, str]] = ()) -> str:
+    """Markdown of the selected blocks, or of all; made on the driver from a catalog's few sources (REN-01).
+
+    rules: (name, text) of the rules that selected the sources; the footer names them and how many of all sources were taken.
+    """
+    every = blocks.orderBy("source_id").collect()
+    rows = [r for r in every if selected is None or r["source_id"] in set(selected)]
+    footer = [f"---\n{len(rows)} de {len(every)} fontes" if selected is not None else f"---\n{len(rows)} fontes"]
+    if rules:
+        footer.append("**Regras aplicadas:**\n" + "\n".join(f"- {name}: {text}" for name, text in rules))
+    return "\n\n".join([f"# Contexto\n\n> {query}", *[r["block"] for r in rows], *footer])
 
 
 def system_prompt(lines: DataFrame) -> str:
-    """Selector prompt over the compressed catalog."""
-    listed = "\n".join(r["line"] for r in lines.orderBy("source_id").collect())
+    """Selector prompt over the catalog, compressed (compressed_lines) or full (full_blocks)."""
+    column = "line" if "line" in lines.columns else "block"
+    listed = "\n".join(r[column] for r in lines.orderBy("source_id").collect())
     return 'Escolha as fontes que respondem à pergunta. Responda só com JSON: {"sources": ["tipo.chave"]}.\n\n' + listed
 
 

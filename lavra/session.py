@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
     made = "file://" + tempfile.mkdtemp(prefix="lavra-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -31,8 +31,10 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, also for empty tables (SNK-01, SNK-09, SNK-11). Spark writes no byte order mark."""
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header, also for empty tables (SNK-01, SNK-09, SNK-11); mark puts a byte order mark before each file's header."""
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").options(header=True).csv(path)
 
 
@@ -46,6 +48,26 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One local JSON file with an array of the rows, nulls kept, dates as text; rows are streamed through the driver (SNK-04)."""
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for n, row in enumerate(df.toLocalIterator()):
+            f.write(("," if n else "") + "\n  " + json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str))
+        f.write("\n]\n")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(category, key, code, ord) of a mapping dictionary {category: {key: code}}; counters are left out (SRC-15)."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        listed = [(c, k, str(v), n) for c, entries in json.load(f).items() if isinstance(entries, dict) and not c.startswith("_counter_") for n, (k, v) in enumerate(entries.items())]
+    return spark.createDataFrame(listed, "category string, key string, code string, ord bigint")
+
+
 def suffixed(path: str, suffix: str) -> str:
     """`a.xlsx` to `a_suffix.xlsx` (SNK-03)."""
     stem, ext = os.path.splitext(path)
@@ -152,6 +174,30 @@ def read_any(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raise ValueError(f"cannot read {ext or 'files without an ending'}")
 
 
+def read_workbooks(spark: SparkSession, paths: list[str]) -> tuple[dict[tuple[str, str], DataFrame], dict[tuple[str, str], str]]:
+    """({(path, sheet): table}, {(path, sheet): error}): a missing file is skipped with a note, a sheet or file that can't be read does not stop the others (SRC-10, SRC-12).
+
+    Errors of a whole file have an empty sheet name. Old binary workbooks (.xls) are such errors: no reader of theirs is here.
+    """
+    good: dict[tuple[str, str], DataFrame] = {}
+    bad: dict[tuple[str, str], str] = {}
+    for path in paths:
+        if not os.path.exists(path):
+            bad[path, ""] = "no such file"
+            continue
+        try:
+            names = [n for n, _ in sheet_names(path)] if path.lower().endswith(".xlsx") else list(read_any(spark, path))
+        except Exception as e:
+            bad[path, ""] = str(e).split("\n")[0] or type(e).__name__
+            continue
+        for name in names:
+            try:
+                good[path, name] = read_any(spark, path)[name] if not path.lower().endswith(".xlsx") else read_workbook(spark, path, name)
+            except Exception as e:
+                bad[path, name] = str(e).split("\n")[0] or type(e).__name__
+    return good, bad
+
+
 # ---------------------------------------------------------------- result sets (SRC-20..22)
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:
     """(model, result fields) of every results_<model>.json that fits the pattern; of equal ids in a file the last stays."""
@@ -188,6 +234,25 @@ def index_fresh(index: DataFrame, content: str) -> bool:
     return bool(row) and row[0] == hashlib.sha256(content.encode()).hexdigest()
 
 
+def write_index(vectors: DataFrame, path: str, content: str) -> None:
+    """Store an index (source_id, doc, vector) with the mark of the catalog text it was made from (SNK-07)."""
+    import hashlib
+
+    vectors.withColumn("catalog_sha256", F.lit(hashlib.sha256(content.encode()).hexdigest())).write.mode("overwrite").parquet(path)
+
+
+def cached_index(spark: SparkSession, path: str, content: str, make) -> DataFrame:
+    """The stored index if it is fresh, else what make() gives, stored (SRC-25, RET-04)."""
+    try:
+        held = spark.read.parquet(path)
+        if index_fresh(held, content):
+            return held
+    except Exception:
+        pass  # nothing stored yet, or nothing readable
+    write_index(make(), path, content)
+    return spark.read.parquet(path)
+
+
 #: Fixed value: rows that one sheet of a workbook can hold.
 SHEET_ROWS = 1_048_576
 

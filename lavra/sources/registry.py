@@ -27,9 +27,45 @@ def jdbc_table(spark: SparkSession, url: str, table: str, split: tuple[str, int,
     return spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=n, properties=options)
 
 
-#: Queries for declared keys in a MySQL database.
-PRIMARY_KEYS = "SELECT TABLE_NAME, COLUMN_NAME FROM information_schema.key_column_usage WHERE table_schema = DATABASE() AND constraint_name = 'PRIMARY'"
-FOREIGN_KEYS = "SELECT TABLE_NAME, COLUMN_NAME, REFERENCED_TABLE_NAME, REFERENCED_COLUMN_NAME FROM information_schema.key_column_usage WHERE table_schema = DATABASE() AND referenced_table_name IS NOT NULL"
+#: Tables of the applications around a database that are no data.
+EXCLUDED_TABLES = (
+    "sc_log sc_log_contratos sec_application sec_users sec_users_groups sec_groups sec_users_applications sec_groups_applications sec_apps sec_groups_apps sec_users_apps django_migrations django_session django_admin_log "
+    "django_content_type auth_group auth_group_permissions auth_permission users_perfil users_perfil_user_permissions users_perfil_groups"
+).split()
+
+
+def base_tables(run: Callable[[str], DataFrame], exclude: Iterable[str] = EXCLUDED_TABLES) -> list[str]:
+    """Base tables of the current database in order of their names, without the excluded (SRC-04). run: query text -> table."""
+    rows = run("SELECT table_name FROM information_schema.tables WHERE table_schema = DATABASE() AND table_type = 'BASE TABLE'")
+    return sorted({r[0] for r in rows.collect()} - set(exclude))
+
+
+def declared_keys(run: Callable[[str], DataFrame], exclude: Iterable[str] = EXCLUDED_TABLES) -> tuple[DataFrame, DataFrame]:
+    """(primary keys, foreign keys) that the current database declares; foreign keys with either end excluded are left out (SRC-05, SRC-06)."""
+    out = list(exclude)
+    usage = "information_schema.key_column_usage WHERE table_schema = DATABASE()"
+    pk = run(f"SELECT table_name, column_name FROM {usage} AND constraint_name = 'PRIMARY'").toDF("TABLE_NAME", "COLUMN_NAME")
+    fk = run(f"SELECT table_name, column_name, referenced_table_name, referenced_column_name FROM {usage} AND referenced_table_name IS NOT NULL")
+    fk = fk.toDF("TABLE_NAME", "COLUMN_NAME", "REFERENCED_TABLE_NAME", "REFERENCED_COLUMN_NAME")
+    return pk.where(~F.col("TABLE_NAME").isin(out)), fk.where(~F.col("TABLE_NAME").isin(out) & ~F.col("REFERENCED_TABLE_NAME").isin(out))
+
+
+def over_jdbc(spark: SparkSession, url: str, **options: str) -> Callable[[str], DataFrame]:
+    """The `run` of a database reached over JDBC."""
+    return lambda query: spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
+def with_keys(columns: DataFrame, table: str, pk: DataFrame, fk: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """columns_of() with default, is_pk and references of one table (SRC-07). defaults: TABLE_NAME, COLUMN_NAME, COLUMN_DEFAULT."""
+    of = lambda df: df.where(F.col("TABLE_NAME") == table)
+    keys = of(pk).select(F.col("COLUMN_NAME").alias("column_name"), F.lit(True).alias("is_pk")).distinct()
+    refs = of(fk).groupBy(F.col("COLUMN_NAME").alias("column_name")).agg(F.min(F.concat_ws(".", "REFERENCED_TABLE_NAME", "REFERENCED_COLUMN_NAME")).alias("references"))
+    out = columns.join(keys, "column_name", "left").join(refs, "column_name", "left")
+    if defaults is not None:
+        out = out.join(of(defaults).select(F.col("COLUMN_NAME").alias("column_name"), F.col("COLUMN_DEFAULT").alias("default_value")), "column_name", "left")
+    else:
+        out = out.withColumn("default_value", F.lit(None).cast("string"))
+    return out.select("ordinal", "column_name", "native_type", "nullable", "default_value", F.coalesce("is_pk", F.lit(False)).alias("is_pk"), "references")
 
 
 class Registry:

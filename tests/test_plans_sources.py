@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lavra.operators import catalog, profile, synthesis
-from lavra.plans import agent, guard, render
+from lavra.plans import agent, guard, providers, render
 from lavra.sources import files, registry, rest
 
 
@@ -224,3 +224,100 @@ def test_providers_drive_an_agent(spark):
     assert r.answer == "há um" and r.results[0].rows == [{"a": 1}] and p.tokens == 15 and len(calls) == 4
     with pytest.raises(ValueError):
         providers.HttpProvider("other", "u", "m")
+
+
+def _plan(kind):
+    return agent.parse_plan(json.dumps({"steps": [{"id": 1, "description": "all", "source_id": f"{kind}.t", "source_type": kind, "operation": "list"}]}))
+
+
+def test_steps_without_an_executor_end_with_an_error(spark):
+    t = spark.range(3)
+    a = agent.Agent(spark, {"sql.t": t, "api.t": t}, lambda q: ["api.t"], lambda q, chosen: _plan("api"))
+    r = a.query("?").results[0]
+    assert r.status is agent.Status.ERROR and "api" in r.error and not r.rows
+    b = agent.Agent(spark, {"api.t": t}, lambda q: ["api.t"], lambda q, chosen: _plan("api"), executable=frozenset(agent.SourceType))
+    assert b.query("?").results[0].row_count == 3
+
+
+def test_display_has_three_layers(spark):
+    a = agent.Agent(spark, {"sql.t": spark.range(3)}, lambda q: ["sql.t"], lambda q, chosen: _plan("sql") + [agent.Step(2, "none", "sql.gone", agent.SourceType.SQL, agent.Operation.LIST)])
+    shown = a.query("quantos?").display()
+    assert "- sql.t" in shown and "SELECT * FROM sql_t" in shown and "linhas: 3" in shown and "erro: unknown source sql.gone" in shown and "Fontes consultadas: sql.t" in shown
+
+
+def test_json_mode_and_gemini():
+    sent = []
+
+    def opener(request, timeout):
+        sent.append((dict(request.header_items()), json.loads(request.data)))
+        return json.dumps({"candidates": [{"content": {"parts": [{"text": '{"a": 1}'}]}}], "usageMetadata": {"totalTokenCount": 5}, "message": {"content": 'x {"a": 2} y'}, "choices": [{"message": {"content": '{"a": 3}'}}]}).encode()
+
+    g = providers.HttpProvider("gemini", "http://localhost/g", "m", key="k", opener=opener)
+    assert g.chat_json("s", "u") == {"a": 1} and g.tokens == 5 and sent[-1][1]["generationConfig"] == {"responseMimeType": "application/json"} and sent[-1][1]["contents"][0]["parts"][0]["text"] == "s\n\nu"
+    o = providers.HttpProvider("ollama", "http://localhost/o", "m", opener=opener)
+    assert o.chat_json("s", "u", {"type": "object"}) == {"a": 2} and sent[-1][1]["format"] == {"type": "object"}
+    z = providers.HttpProvider("azure", "http://localhost/z", "m", key="k", opener=opener)
+    assert z.chat_json("s", "u") == {"a": 3} and sent[-1][1]["response_format"] == {"type": "json_object"}
+    with pytest.raises(ValueError):
+        providers.HttpProvider("gemini", "u", "m", key="")
+
+
+def test_declared_keys_without_excluded_tables(spark):
+    tables = spark.createDataFrame([("b",), ("a",), ("sec_users",)], "t string")
+    pk = spark.createDataFrame([("a", "id"), ("sec_users", "id")], "t string, c string")
+    fk = spark.createDataFrame([("b", "a_id", "a", "id"), ("b", "u", "sec_users", "id"), ("auth_group", "x", "a", "id")], "t string, c string, rt string, rc string")
+    run = lambda q: tables if ".tables" in q else fk if "referenced_table_name" in q else pk
+    assert registry.base_tables(run) == ["a", "b"] and len(registry.EXCLUDED_TABLES) == 21
+    keys, refs = registry.declared_keys(run)
+    assert [tuple(r) for r in keys.collect()] == [("a", "id")] and [tuple(r) for r in refs.collect()] == [("b", "a_id", "a", "id")]
+    told = registry.with_keys(registry.columns_of(spark.createDataFrame([], "id bigint, a_id bigint")), "b", keys, refs)
+    assert {(r.column_name, r.is_pk, r.references) for r in told.collect()} == {("id", False, None), ("a_id", False, "a.id")}
+
+
+def test_workbooks_that_fail_stop_no_others(spark, tmp_path):
+    good, broken, old = (str(tmp_path / n) for n in ("g.xlsx", "b.xlsx", "o.xls"))
+    files.write_workbook({"um": spark.range(2), "dois": spark.range(3)}, good)
+    for p in (broken, old):
+        with open(p, "wb") as f:
+            f.write(b"no archive")
+    tables, errors = files.read_workbooks(spark, [good, broken, old, str(tmp_path / "gone.xlsx")])
+    assert {k: t.count() for k, t in tables.items()} == {(good, "um"): 2, (good, "dois"): 3}
+    assert set(errors) == {(broken, ""), (old, ""), (str(tmp_path / "gone.xlsx"), "")}
+
+
+def test_sinks_and_dictionary(spark, tmp_path):
+    df = spark.createDataFrame([("á", None), ("b", 2)], "nome string, n int")
+    files.write_csv(df, f"file://{tmp_path}/c", mark=True)
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "c").glob("*.csv"))
+    assert text.startswith("\ufeffnome,n") and files.read_csv(spark, f"file://{tmp_path}/c").columns == ["nome", "n"]
+    files.write_json_array(df, str(tmp_path / "a.json"))
+    assert json.loads((tmp_path / "a.json").read_text(encoding="utf-8")) == [{"nome": "á", "n": None}, {"nome": "b", "n": 2}]
+    (tmp_path / "d.json").write_text(json.dumps({"sigla": {"x": "S1", "y": "S2"}, "_counter_sigla": 2}), encoding="utf-8")
+    assert {tuple(r) for r in files.read_dictionary(spark, str(tmp_path / "d.json")).collect()} == {("sigla", "x", "S1", 0), ("sigla", "y", "S2", 1)}
+
+
+def test_index_is_stored_until_the_catalog_changes(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([("sql.t", [1.0, 2.0])], "source_id string, vector array<double>")
+
+    path = f"file://{tmp_path}/index"
+    for text, count in (("a", 1), ("a", 1), ("b", 2)):
+        assert files.cached_index(spark, path, text, make).count() == 1 and len(made) == count
+
+
+def test_blocks_of_endpoints_and_workbooks_and_footer(spark):
+    sources = spark.createDataFrame([("api.e", "um", "/x"), ("spreadsheets.f", "dois", None)], "source_id string, description string, path string")
+    for c in ("business_role", "when_to_use", "when_not_to_use", "method"):
+        sources = sources.withColumn(c, F.lit(None).cast("string"))
+    sources = sources.withColumn("row_count", F.lit(None).cast("bigint"))
+    fields = spark.createDataFrame([("api.e", 0, "k", "string", "y" * 40)], "source_id string, ordinal int, column_name string, native_type string, example string")
+    sheets = spark.createDataFrame([("spreadsheets.f", 0, "Plan1", 1200, ["a", "b"])], "source_id string, ordinal int, sheet string, row_count bigint, columns array<string>")
+    blocks = render.full_blocks(sources, None, fields, sheets)
+    got = {r.source_id: r.block for r in blocks.collect()}
+    assert "| k | string | " + "y" * 30 + "... |" in got["api.e"] and "- **Plan1** (1,200 linhas): a, b" in got["spreadsheets.f"]
+    text = render.context("q?", blocks, ["api.e"], [("r1", "tem endpoint")])
+    assert "1 de 2 fontes" in text and "- r1: tem endpoint" in text and "spreadsheets.f" not in text
+    assert "### api.e" in render.system_prompt(blocks)
