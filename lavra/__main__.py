@@ -71,9 +71,10 @@ def run(got: argparse.Namespace) -> None:
         with open(got.plan, encoding="utf-8") as f:
             plan = [tuple(x) for x in json.load(f)]
         refs = spark.createDataFrame(listed, "category string, key string, code string, ord bigint")
-        mapped, report = mapping.run_plan(rows, "__at", plan, refs, default=mapping.FuzzyRule(got.similarity_threshold, True))
-        files.write_csv(mapped.drop("__at"), f"{got.out}/mapped")
-        files.write_csv(report, f"{got.out}/report")
+        done = mapping.run_plan(rows, "__at", plan, refs, default=mapping.FuzzyRule(got.similarity_threshold, True))
+        files.write_csv(done["rows"].drop("__at"), f"{got.out}/mapped")
+        for name in ("report", "similar", "unmapped"):
+            files.write_csv(done[name], f"{got.out}/{name}")
     else:
         results = files.per_query_metric(files.read_results(spark, got.results), got.metric, got.difficulty, got.cluster)
         renamed = results.withColumnsRenamed({"id": "query_id", "value": got.metric})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavra.operators.numbering import number_rows
+
 METRICS = ("precision", "recall", "f1", "top1_acc", "error_rate", "ndcg")
 #: Thresholds tried, gains of primary and complementary sources, depth of the gain.
 GRID = tuple(round(0.20 + 0.05 * i, 2) for i in range(16))
@@ -52,10 +54,10 @@ def metrics(df: DataFrame, selected: str = "selected", primary: str = "expected_
 
 
 def folds(queries: DataFrame, n_folds: int = 5, seed: int = 42, stratum: str = "difficulty", key: str = "query_id") -> DataFrame:
-    """queries with a fold number: dealt round within each stratum in the order of a seeded hash (WIN-03)."""
+    """queries with a fold number: dealt round within each stratum in the order of a seeded hash (WIN-03). No stratum is one task."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    at = F.row_number().over(Window.partitionBy(stratum).orderBy(order, key))
-    return queries.withColumn("fold", ((at - 1) % n_folds).cast("int"))
+    numbered = number_rows(queries.withColumn("__order", order), [stratum], ["__order", key], "__n")
+    return numbered.select(*queries.columns, ((F.col("__n") - 1) % n_folds).cast("int").alias("fold"))
 
 
 def fold_distribution(folded: DataFrame, stratum: str = "difficulty") -> DataFrame:
@@ -63,12 +65,14 @@ def fold_distribution(folded: DataFrame, stratum: str = "difficulty") -> DataFra
 
 
 def means(results: DataFrame, by: list[str], names: tuple[str, ...] = METRICS) -> DataFrame:
-    """Means rounded to four digits by the given columns (AGG-15, AGG-18)."""
+    """Means rounded to four digits by the given columns; those of total_tokens too, where it is there (AGG-15, AGG-18)."""
+    names = tuple(names) + tuple(c for c in ("total_tokens",) if c in results.columns and c not in names)
     return results.groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in names])
 
 
 def means_by_field(results: DataFrame, fields: list[str], names: tuple[str, ...] = METRICS) -> DataFrame:
     """(field, value, n, metrics) for each field in one pass over the results; missing values count as unknown (AGG-16)."""
+    names = tuple(names) + tuple(c for c in ("total_tokens",) if c in results.columns and c not in names)
     long = results.select(*names, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("unknown")).alias("value")) for f in fields])).alias("g"))
     return means(long.select(*names, "g.field", "g.value"), ["field", "value"], names)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.functions.text import code_number, is_blank, normalize_text, strip, year_suffix, zero_padded_code
@@ -15,7 +15,13 @@ from lavra.operators.numbering import number_rows
 from lavra.session import materialize
 
 SUGGESTIONS = 3
+#: Entries of a dictionary that the driver reads and sends at a time.
 REFERENCE_ROWS = 200_000
+#: The columns of the mapping job with the dictionary category of each.
+MAPPING_PLAN = [
+    ("invoice", "invoice"), ("contrato", "ID_CONTRATO_ANO"), ("acao", "funds"), ("item", "equipamento"), ("pn", "part_number"), ("nomenclatura_sigelog", "equipamento"), ("om_destino", "sigla"), ("rm_de_destino", "regiao"),
+    ("subsistema", "subsistema"), ("tipoeqp", "tipo_equipamento"),
+]
 
 
 @dataclass(frozen=True)
@@ -76,9 +82,9 @@ def _ratios(listed: list[tuple[str, str, str, int]], top: int, floor: float):
                     r = matcher.ratio()
                     if r >= bar:
                         best = sorted([*best, (r, at, key, code)], key=lambda x: (-x[0], x[1]))[:top]
-                out += [(value, n + 1, key, code, r) for n, (r, at, key, code) in enumerate(best)]
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64()))], ["value", "place", "ref", "code", "score"])
+                out += [(value, n + 1, key, code, r, at) for n, (r, at, key, code) in enumerate(best)]
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int64()))], ["value", "place", "ref", "code", "score", "at"])
 
     return run
 
@@ -86,14 +92,21 @@ def _ratios(listed: list[tuple[str, str, str, int]], top: int, floor: float):
 def fuzzy(values: DataFrame, refs: DataFrame, top: int = 1, floor: float = 0.0) -> DataFrame:
     """(value, place, ref, code, score): the most alike references of each distinct value by Ratcliff/Obershelp ratio (JN-04, JN-05, STR-13).
 
-    Ties go to the first reference. The reference list is a dictionary; it is refused beyond REFERENCE_ROWS rows, and
-    every value meets it as a stated query set, cut by an exact upper bound of the ratio. Nulls have no row.
+    Ties go to the first reference. The dictionary is read in blocks of REFERENCE_ROWS entries, and every value meets each
+    as a stated query set, cut by an exact upper bound of the ratio. Nulls have no row.
     """
-    listed = [(r["key"], r["norm"], r["code"], r["ord"]) for r in refs.orderBy("ord").limit(REFERENCE_ROWS + 1).collect()]
-    if len(listed) > REFERENCE_ROWS:
-        raise ValueError(f"the dictionary has more than {REFERENCE_ROWS} entries")
     asked = values.where("value is not null").select("value").distinct().select("value", normalize_text(F.col("value")).alias("norm"))
-    return asked.mapInArrow(_ratios(listed, top, floor), "value string, place int, ref string, code string, score double")
+    blocks = max(1, -(-refs.count() // REFERENCE_ROWS))
+    dealt = refs.withColumn("__block", F.pmod(F.xxhash64("key", "ord"), F.lit(blocks)))
+    parts = []
+    for k in range(blocks):
+        listed = [(r["key"], r["norm"], r["code"], r["ord"]) for r in sorted(dealt.where(F.col("__block") == k).collect(), key=lambda r: r["ord"])]
+        parts.append(asked.mapInArrow(_ratios(listed, top, floor), "value string, place int, ref string, code string, score double, at bigint"))
+    found = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        place = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), "at"))
+        found = found.withColumn("place", place).where(F.col("place") <= top)
+    return found.drop("at")
 
 
 def next_number(refs: DataFrame, prefix: str, digits: int) -> int:
@@ -114,26 +127,27 @@ def generate(unmatched: DataFrame, start: int, prefix: str, digits: int, with_ye
 
 
 def cascade(rows: DataFrame, column: str, order: str, mapping: DataFrame, rule: FuzzyRule | None = DEFAULT_RULE, generated: tuple[str, int, bool] | None = None) -> DataFrame:
-    """(value, first_at, occurrences, code, stage, score) for every distinct non-blank value of a column (MSK-05).
+    """(value, first_at, occurrences, code, stage, score, ref) for every distinct non-blank value of a column (MSK-05).
 
     Stages in turn: exact, normalized, similarity, generated, else unmapped. Resolved on distinct values; join back by value.
     """
     refs = materialize(lookup(mapping), "lookup")
     values = rows.where(~is_blank(F.col(column))).groupBy(F.col(column).cast("string").alias("value")).agg(F.min(order).alias("first_at"), F.count("*").alias("occurrences"))
     done = materialize(exact(values, refs), "exact")
-    found = done.where("code is not null").withColumn("score", F.lit(None).cast("double"))
+    none = {"score": F.lit(None).cast("double"), "ref": F.lit(None).cast("string")}
+    found = done.where("code is not null").withColumns(none)
     rest = done.where("code is null").drop("code", "stage")
     if rule is not None:
-        near = fuzzy(rest, refs, 1, rule.threshold).where(passes(F.col("score"), rule)).select("value", F.col("code").alias("code"), F.round("score", 4).alias("score"))
+        near = fuzzy(rest, refs, 1, rule.threshold).where(passes(F.col("score"), rule)).select("value", F.col("code").alias("code"), F.round("score", 4).alias("score"), "ref")
         near = materialize(near, "similar")
         found = found.unionByName(rest.join(near, "value").withColumn("stage", F.lit("similarity")))
         rest = rest.join(near.select("value"), "value", "left_anti")
     if generated is not None:
         prefix, digits, with_year = generated
         new = generate(rest.select("value", F.col("first_at").alias("at")), next_number(refs, prefix, digits), prefix, digits, with_year)
-        rest = rest.withColumn("norm", normalize_text(F.col("value"))).join(new, "norm").drop("norm").withColumn("stage", F.lit("generated")).withColumn("score", F.lit(None).cast("double"))
+        rest = rest.withColumn("norm", normalize_text(F.col("value"))).join(new, "norm").drop("norm").withColumn("stage", F.lit("generated")).withColumns(none)
     else:
-        rest = rest.withColumn("code", F.lit(None).cast("string")).withColumn("stage", F.lit("unmapped")).withColumn("score", F.lit(None).cast("double"))
+        rest = rest.withColumn("code", F.lit(None).cast("string")).withColumn("stage", F.lit("unmapped")).withColumns(none)
     return found.unionByName(rest)
 
 
@@ -155,6 +169,11 @@ def coverage(resolved: DataFrame, column: str) -> DataFrame:
     )
 
 
+def similarity_hits(resolved: DataFrame) -> DataFrame:
+    """(value, ref, code, score, occurrences) of every value that was mapped by similarity (AGG-13)."""
+    return resolved.where("stage = 'similarity'").select("value", "ref", "code", "score", "occurrences")
+
+
 def unmapped(resolved: DataFrame) -> DataFrame:
     """(value, occurrences) that stayed without a code (AGG-11)."""
     return resolved.where("stage = 'unmapped'").select("value", "occurrences")
@@ -186,22 +205,33 @@ def suggestions(resolved: DataFrame, mapping: DataFrame, top: int = SUGGESTIONS,
     return left.join(fuzzy(left, lookup(mapping), top, floor), "value")
 
 
-def run_plan(rows: DataFrame, order: str, plan: list[tuple[str, str]], dictionaries: DataFrame, rules: dict[str, FuzzyRule] = FUZZY_RULES, generated: dict[str, tuple[str, int, bool]] = GENERATED, default: FuzzyRule = DEFAULT_RULE) -> tuple[DataFrame, DataFrame]:
-    """(mapped rows, report) of a plan [(column, category)] over dictionaries (category, key, code, ord) (MSK-06, MSK-12).
+def run_plan(
+    rows: DataFrame, order: str, plan: list[tuple[str, str]], dictionaries: DataFrame, rules: dict[str, FuzzyRule] = FUZZY_RULES, generated: dict[str, tuple[str, int, bool]] = GENERATED, default: FuzzyRule = DEFAULT_RULE, context: str | None = "contrato"
+) -> dict[str, DataFrame]:
+    """rows, report, similar and unmapped of a plan [(column, category)] over dictionaries (category, key, code, ord) (MSK-06, MSK-12, AGG-10..13).
 
-    Missing columns and empty categories appear in the report with status 'missing' and change nothing.
+    Missing columns and empty categories appear in the report with status 'missing' and change nothing; columns with
+    generated codes need no dictionary to begin with. `unmapped` holds each value's contexts and its best suggestion.
     """
     if not 0 <= default.threshold <= 1:
         raise ValueError("threshold must lie in 0..1")
+    spark = rows.sparkSession
     have = {r["category"] for r in dictionaries.select("category").distinct().collect()}
-    out, reports = rows, []
     empty = "column_name string, non_empty bigint, mapped bigint, by_similarity bigint, auto_coded bigint, unmapped bigint, pct_mapped double"
+    out, reports = rows, []
+    similar = [spark.createDataFrame([], "column_name string, category string, value string, ref string, code string, score double, occurrences bigint")]
+    left = [spark.createDataFrame([], "column_name string, value string, occurrences bigint, contexts string, ref string, score double")]
     for column, category in plan:
-        if column not in rows.columns or category not in have:
-            reports.append(rows.sparkSession.createDataFrame([(column, None, None, None, None, None, None)], empty).withColumn("status", F.lit("missing")))
+        if column not in rows.columns or category not in have and column not in generated:
+            reports.append(spark.createDataFrame([(column, None, None, None, None, None, None)], empty).withColumn("status", F.lit("missing")))
             continue
         own = dictionaries.where(F.col("category") == category)
         resolved = materialize(cascade(rows, column, order, own, rules.get(column, default), generated.get(column)), "resolved")
         reports.append(coverage(resolved, column).withColumn("status", F.lit("mapped")))
+        similar.append(similarity_hits(resolved).withColumns({"column_name": F.lit(column), "category": F.lit(category)}))
+        seen = contexts(rows, column, context, resolved) if context in rows.columns else unmapped(resolved).select("value", F.lit(None).cast("string").alias("contexts"))
+        best = suggestions(resolved, own, 1).select("value", "ref", F.round("score", 4).alias("score"))
+        left.append(unmapped(resolved).join(seen, "value", "left").join(best, "value", "left").withColumn("column_name", F.lit(column)))
         out = apply(out, column, resolved)
-    return out, reduce(DataFrame.unionByName, reports)
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return {"rows": out, "report": union(reports), "similar": union(similar), "unmapped": union(left)}

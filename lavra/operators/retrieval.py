@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.functions.text import bm25_tokens
+from lavra.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Prefix of queries and documents, and similarity floor, of each encoder.
-ENCODERS = {"minilm": ("", "", 0.30), "e5-base": ("query: ", "passage: ", 0.79), "e5-large": ("query: ", "passage: ", 0.79), "bge-m3": ("", "", 0.50), "e5-large-instruct": ("Instruct: {task}\nQuery: ", "", 0.79), "serafim": ("", "", 0.50)}
-QUERY_BLOCK = 1024
+ENCODERS = {"minilm": ("", "", 0.30), "e5-base": ("query: ", "passage: ", 0.79), "e5-large": ("query: ", "passage: ", 0.79), "bge-m3": ("", "", 0.50), "e5-large-instruct": ("Instruct: {task}\nQuery: ", "passage: ", 0.79), "serafim": ("", "", 0.50)}
+#: Queries of a block, vectors of a part, and numbers that all broadcast blocks may hold together.
+QUERY_BLOCK, VECTOR_PART, BROADCAST_CELLS = 1024, 65_536, 4_000_000
+#: Source ids of a block of the fallback.
+SOURCE_BLOCK = 1024
 TYPE_ORDER = ("sql", "api", "spreadsheets")
 
 
@@ -60,9 +64,15 @@ def keyword_route(queries: DataFrame, rules: DataFrame, sources: DataFrame) -> D
 
 
 def with_all(queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every given query with all sources, as the fallback wants; queries are a stated set that found nothing."""
-    every = sources.select("source_id").distinct().agg(F.collect_list("source_id").alias("all"))
-    return queries.join(F.broadcast(every)).select("query_id", F.explode("all").alias("source_id"))
+    """Every given query with all sources, as the fallback wants; queries are a stated set that found nothing.
+
+    Sources meet the queries in blocks of about SOURCE_BLOCK ids by an equal key, so neither side is broadcast whole.
+    """
+    ids = sources.select("source_id").distinct()
+    blocks = max(1, -(-ids.count() // SOURCE_BLOCK))
+    dealt = ids.groupBy(F.pmod(F.xxhash64("source_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("source_id").alias("all"))
+    asked = queries.select("query_id", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    return asked.join(dealt, "block").select("query_id", F.explode("all").alias("source_id"))
 
 
 # ---------------------------------------------------------------- BM25 (MTH-05, RET-08, AGG-26)
@@ -70,8 +80,9 @@ def bm25_index(docs: DataFrame, key: str = "source_id", text: str = "doc") -> tu
     """(postings, terms): (key, term, tf, dl) and (term, df, idf). Negative idf becomes EPSILON times the mean idf."""
     tokens = docs.select(F.col(key).alias("doc_key"), bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     sized = tokens.select("doc_key", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    postings = sized.groupBy("doc_key", "dl", "term").agg(F.count("*").alias("tf"))
-    totals = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
+    postings = materialize(sized.groupBy("doc_key", "dl", "term").agg(F.count("*").alias("tf")), "bm25-postings")  # the texts are read once
+    n_docs = docs.count()
+    totals = postings.agg(F.lit(n_docs).alias("n_docs"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(max(n_docs, 1))).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(totals)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
@@ -97,22 +108,57 @@ def l2_normalized(c: Column) -> Column:
     return F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-def _block_scores(ids: list, matrix: np.ndarray, k: int):
+def _unit(flat: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(flat, axis=1, keepdims=True)
+    return flat / np.where(norm > 0, norm, 1)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+class _Best:
+    """The k best sources of every query so far, ties by id."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int | None):
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.scores, self.sources = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+
+    def see(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        s = self.matrix @ vectors.T
+        scores, sources = np.concatenate([self.scores, s], 1), np.concatenate([self.sources, np.broadcast_to(keys, s.shape)], 1)
+        order = np.lexsort((sources, -scores), axis=1)[:, : self.k]
+        self.scores, self.sources = np.take_along_axis(scores, order, 1), np.take_along_axis(sources, order, 1)
+
+    def rows(self) -> list[pa.Array]:
+        return [pa.array(np.repeat(self.ids, self.scores.shape[1])), pa.array(self.sources.ravel()), pa.array(self.scores.ravel())]
+
+
+_SCORED = ["query_id", "source_id", "score"]
+
+
+def _one_pass(blocks: list[tuple[np.ndarray, np.ndarray]], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_s = np.full((len(ids), 0), -np.inf)
-        top_i = np.zeros((len(ids), 0), dtype=np.int64)
+        best = [_Best(ids, matrix, k) for ids, matrix in blocks]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            norm = np.linalg.norm(flat, axis=1, keepdims=True)
-            s = matrix @ (flat / np.where(norm > 0, norm, 1)).T
-            keys = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), s.shape)
-            top_s, top_i = np.concatenate([top_s, s], 1), np.concatenate([top_i, keys], 1)
-            order = np.lexsort((top_i, -top_s), axis=1)[:, :k]
-            top_s, top_i = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_i, order, 1)
-        n = top_s.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, dtype=np.int64), n)), pa.array(top_i.ravel()), pa.array(top_s.ravel())], names=["query_id", "source_id", "score"])
+            if batch.num_rows:
+                keys, vectors = batch.column(0).to_numpy(zero_copy_only=False), _unit(_matrix(batch.column(1)))
+                for b in best:
+                    b.see(keys, vectors)
+        for b in best:
+            yield pa.RecordBatch.from_arrays(b.rows(), names=_SCORED)
+
+    return run
+
+
+def _pair_of_blocks(k: int | None):
+    def run(asked: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not asked.num_rows or not vectors.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "source_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        best = _Best(asked.column("q").to_numpy(), _matrix(asked.column("v")), k)
+        best.see(vectors.column("source_id").to_numpy(), _unit(_matrix(vectors.column("v"))))
+        return pa.table(best.rows(), names=_SCORED)
 
     return run
 
@@ -120,22 +166,39 @@ def _block_scores(ids: list, matrix: np.ndarray, k: int):
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, source_id, score, rank): the exact k nearest of every query of a stated set, ties by id.
 
-    Queries go out in blocks of QUERY_BLOCK; each scan task keeps k per query, so only k rows for each query and task are shuffled.
+    While all queries hold at most BROADCAST_CELLS numbers, they go to every scan task in blocks and the vectors are read
+    once; beyond that blocks of queries and parts of the vectors meet by key, each pair in a task of its own. Either way
+    only k rows for each query and task are shuffled, and the driver never holds more than that bound.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("q"), l2_normalized(F.col(vector)).alias("v")).collect()
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("q"), l2_normalized(F.col(vector)).alias("v"))
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("source_id"), F.col(vector).alias("v"))
     schema = "query_id bigint, source_id bigint, score double"
-    parts = None
-    for at in range(0, len(asked), QUERY_BLOCK):
-        block = asked[at : at + QUERY_BLOCK]
-        part = rows.mapInArrow(_block_scores([r["q"] for r in block], np.array([r["v"] for r in block]), k), schema)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = rows.sparkSession.createDataFrame([], schema)
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).first()
+    if size["cells"] <= BROADCAST_CELLS:
+        held = asked.collect()
+        blocks = [(np.array([r["q"] for r in held[at : at + QUERY_BLOCK]], dtype=np.int64), np.array([r["v"] for r in held[at : at + QUERY_BLOCK]])) for at in range(0, len(held), QUERY_BLOCK)]
+        parts = rows.mapInArrow(_one_pass(blocks, k), schema)
+    else:
+        n_blocks, n_parts = -(-size["n"] // QUERY_BLOCK), max(1, -(-rows.count() // VECTOR_PART))
+        span = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        left = asked.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("block"), span(n_parts, "part"))
+        right = rows.select("source_id", "v", F.pmod(F.xxhash64("source_id"), F.lit(n_parts)).cast("int").alias("part"), span(n_blocks, "block"))
+        parts = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_pair_of_blocks(k), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def cosine_scores(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, source_id, score) of every query of a stated set against every vector, for reports; blocks meet by key."""
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("q"), l2_normalized(F.col(vector)).alias("v"))
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("source_id"), F.col(vector).alias("v"))
+    n_blocks, n_parts = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-rows.count() // QUERY_BLOCK))
+    span = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = asked.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("block"), span(n_parts, "part"))
+    right = rows.select("source_id", "v", F.pmod(F.xxhash64("source_id"), F.lit(n_parts)).cast("int").alias("part"), span(n_blocks, "block"))
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_pair_of_blocks(None), "query_id bigint, source_id bigint, score double")
+
+
 # ---------------------------------------------------------------- cuts (WIN-02, SRT-01, SRT-02, PRJ-08)
 def ranked(scores: DataFrame, score: str = "score", keep: int | None = None) -> DataFrame:
     """rank within the query: by falling score, ties by source (SRT-01)."""

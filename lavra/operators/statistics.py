@@ -137,6 +137,33 @@ def ablation_pairs(results: DataFrame, versions: list[str], model: str = "model"
 
 
 # ---------------------------------------------------------------- lexical overlap (STA-06..09)
+#: The fields of a source that its catalog text joins, in this order.
+TEXT_FIELDS = ("embedding_hint", "description", "business_role", "when_to_use")
+
+
+def catalog_texts(sources: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """(source_id, text): four fields, then the names of the source's columns and their descriptions (ARR-11).
+
+    columns: source_id, column_name, ordinal, description. Of repeated sources the greatest value of each field counts.
+    """
+    one = sources.groupBy("source_id").agg(*[F.max(c).alias(c) for c in TEXT_FIELDS if c in sources.columns])
+    parts = [F.when(F.col(c) != "", F.col(c)) for c in TEXT_FIELDS if c in sources.columns]
+    if columns is not None:
+        listed = F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "description")))
+        told = columns.groupBy("source_id").agg(listed.alias("c"))
+        names = F.array_join(F.transform("c", lambda x: x["column_name"]), " ")
+        said = F.array_join(F.filter(F.transform("c", lambda x: x["description"]), lambda d: d.isNotNull() & (d != "")), " ")
+        one = one.join(told.select("source_id", names.alias("__names"), F.when(said != "", said).alias("__said")), "source_id", "left")
+        parts += [F.col("__names"), F.col("__said")]
+    return one.select("source_id", F.concat_ws(" ", *parts).alias("text"))
+
+
+def mean_by_label(df: DataFrame, label: str, value: str = "overlap") -> DataFrame:
+    """(label, n, mean) of the non-null values in ascending order of the mean (AGG-21)."""
+    kept = df.where(F.col(value).isNotNull())
+    return kept.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias(f"mean_{value}")).orderBy(f"mean_{value}", label)
+
+
 def overlaps(queries: DataFrame, texts: DataFrame, metric: str = "containment", gold: str = "union", stem: bool = False) -> DataFrame:
     """(query_id, overlap, unresolved): how much of each question the text of its gold sources says (STA-06, JN-10, AGG-11).
 

@@ -33,10 +33,10 @@ class HashedEncoder:
         return self.unit.transform(self.idf.transform(self.tf.transform(tokens))).withColumn("vector", vector_to_array("unit")).drop("t", "tf", "idf", "unit")
 
 
-def dense_scores(queries: DataFrame, docs: DataFrame, encoder: HashedEncoder, k: int) -> DataFrame:
-    """(query_id, source_id, score, rank) of the k best documents for each query; ids are bigint row keys."""
-    q = encoder.encode(queries, "query").select(F.col("query_id").alias("vec_id"), F.col("vector").alias("embedding"))
-    d = encoder.encode(docs, "doc").select(F.col("source_id").alias("vec_id"), F.col("vector").alias("embedding"))
+def dense_scores(queries: DataFrame, docs: DataFrame, encoder: HashedEncoder, k: int, prefixes: tuple[str, str] = ("", "")) -> DataFrame:
+    """(query_id, source_id, score, rank) of the k best documents for each query; ids are bigint row keys. prefixes: of queries and documents."""
+    q = encoder.encode(queries, "query", prefixes[0]).select(F.col("query_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    d = encoder.encode(docs, "doc", prefixes[1]).select(F.col("source_id").alias("vec_id"), F.col("vector").alias("embedding"))
     return retrieval.cosine_top_k(q, d, k)
 
 
@@ -55,12 +55,18 @@ class Selector:
     window: int | None = None
     reranker: Callable | None = None
     reranker_top_k: int = 5
+    task: str = "Given a question, retrieve the data sources that answer it"
 
     def __post_init__(self):
         if self.model not in ("bm25", "hashed", *retrieval.ENCODERS):
             raise ValueError(f"unknown model {self.model}")
         self.cut()
 
+    def prefixes(self) -> tuple[str, str]:
+        """What the encoder puts before queries and documents; an instruction holds the task."""
+        query, doc, _ = retrieval.ENCODERS.get(self.model, ("", "", 0.0))
+        return query.replace("{task}", self.task), doc
+
     def cut(self) -> retrieval.Cut:
         floor = self.floor if self.floor is not None else retrieval.ENCODERS[self.model][2] if self.model in retrieval.ENCODERS else 0.30
         k = self.reranker_top_k if self.reranker else self.top_k
@@ -71,10 +77,10 @@ class Selector:
         how = self.cut()
         if self.model == "bm25":
             postings, terms = retrieval.bm25_index(docs)
-            scored = retrieval.bm25_scores(queries, materialize(postings, "postings"), terms).select("query_id", "source_id", F.col("normalized").alias("score"))
+            scored = retrieval.bm25_scores(queries, postings, terms).select("query_id", "source_id", F.col("normalized").alias("score"))
             ranking = retrieval.ranked(scored, "score", how.window + 1)
         else:
-            ranking = dense_scores(queries, docs, encoder or HashedEncoder(docs), how.window + 1)
+            ranking = dense_scores(queries, docs, encoder or HashedEncoder(docs), how.window + 1, self.prefixes())
         return retrieval.cut(ranking, how)
 
     def select(self, queries: DataFrame, docs: DataFrame, encoder: HashedEncoder | None = None) -> DataFrame:
@@ -105,9 +111,11 @@ def cross_validate(model: str, candidates: DataFrame, gold: DataFrame, n_folds:
 
 def selector_results(answers: DataFrame, gold: DataFrame, sources: DataFrame) -> DataFrame:
     """Metrics of a selector that answers in text: query_id, answer, optional total_tokens; unreadable answers select nothing (RET-14)."""
-    known = sources.agg(F.collect_set("source_id").alias("known"))
-    parsed = answers.withColumn("ids", F.coalesce(parse_source_list(F.col("answer")), F.array().cast("array<string>"))).join(F.broadcast(known))
-    lists = parsed.withColumn("selected", F.filter("ids", lambda s: F.array_contains(F.col("known"), s))).drop("ids", "known", "answer")
+    ids = F.coalesce(parse_source_list(F.col("answer")), F.array().cast("array<string>"))
+    named = answers.select("query_id", F.posexplode(ids).alias("at", "source_id")).join(sources.select("source_id").distinct(), "source_id")
+    chosen = named.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source_id"))), lambda x: x["source_id"]).alias("selected"))
+    none = F.array().cast("array<string>")
+    lists = answers.drop("answer").join(chosen, "query_id", "left").withColumn("selected", F.coalesce("selected", none))
     return evaluation.metrics(gold.join(lists, "query_id", "left"))
 
 

@@ -146,7 +146,7 @@ def source_documents(spark: SparkSession, d: str) -> DataFrame:
     return _source_docs(spark, d)
 
 
-@query("json_fields", "select event_id, 'k' as field, 'integer' as type, json_extract_string(props, '$.k') as example from events")
+@query("json_fields", "select event_id, k as field, case when json_type(props, '$.' || k) in ('UBIGINT', 'BIGINT') then 'integer' when json_type(props, '$.' || k) = 'DOUBLE' then 'float' when json_type(props, '$.' || k) = 'BOOLEAN' then 'boolean' else 'string' end as type, json_extract_string(props, '$.' || k) as example from (select event_id, props, unnest(json_keys(props)) as k from events)")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return catalog.json_fields(table(spark, d, "events"), "event_id", "props")
 
@@ -290,10 +290,21 @@ def map_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return mapping.suggestions(resolved, refs)
 
 
+def _mapping_job(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The whole plan over the dictionaries that ref_entries gives; categories without entries are reported missing."""
+    named = F.create_map(*[F.lit(x) for pair in (("item", "equipamento"), ("nomenclatura_sigelog", "equipamento"), ("om_destino", "sigla"), ("subsistema", "subsistema")) for x in pair])
+    refs = table(spark, d, "ref_entries").select(named[F.col("campo")].alias("category"), F.col("canonical").alias("key"), F.concat(F.lit("R"), F.col("ref_id").cast("string")).alias("code"), F.col("ref_id").alias("ord"))
+    return mapping.run_plan(table(spark, d, "distribuicao_d_sup"), "dist_id", mapping.MAPPING_PLAN, refs)
+
+
 @query("map_plan_report")
 def map_plan_report(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "ref_entries").select(F.col("campo").alias("category"), F.col("canonical").alias("key"), F.concat(F.lit("R"), F.col("ref_id").cast("string")).alias("code"), F.col("ref_id").alias("ord"))
-    return mapping.run_plan(table(spark, d, "distribuicao_d_sup"), "dist_id", [("subsistema", "subsistema"), ("om_destino", "om_destino"), ("rm_de_destino", "regiao")], refs)[1]
+    return _mapping_job(spark, d)["report"]
+
+
+@query("map_similarity_hits")
+def map_similarity_hits(spark: SparkSession, d: str) -> DataFrame:
+    return _mapping_job(spark, d)["similar"]
 
 
 # ================================================================ text functions
@@ -358,7 +369,7 @@ rk as (select *, row_number() over (partition by query_id order by round(normali
 def _bm25_ranked(spark: SparkSession, d: str, keep: int) -> DataFrame:
     queries, docs = _bm25_inputs(spark, d)
     postings, terms = retrieval.bm25_index(docs)
-    scored = retrieval.bm25_scores(queries, materialize(postings, "bm25-postings"), terms)
+    scored = retrieval.bm25_scores(queries, postings, terms)
     return retrieval.ranked(scored.withColumn("r9", F.round("normalized", 9)), "r9", keep)
 
 
@@ -406,9 +417,10 @@ def gap_positions(spark: SparkSession, d: str) -> DataFrame:
     return got.select("query_id", "cut_after", F.round("largest_gap", 6).alias("largest_gap"))
 
 
-@query("similarity_report", _COS + "select query_id, source_id, cast(rank as int) as rank, score >= 0.5 as passes from r where rank <= 20")
+@query("similarity_report", _COS + "select query_id, source_id, cast(rank as int) as rank, score >= 0.5 as passes from r")
 def similarity_report(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.similarity_report(_cosine(spark, d, 20).drop("rank"), 0.5).select("query_id", "source_id", "rank", "passes")
+    e = table(spark, d, "embeddings")
+    return retrieval.similarity_report(retrieval.cosine_scores(e.where("vec_id % 20 = 0"), e), 0.5).select("query_id", "source_id", "rank", "passes")
 
 
 @query("rerank", _BM25 + """, p as (select rk.query_id, rk.source_id, list_distinct(regexp_extract_all(lower(coalesce(b.query, '')), '[\\p{L}\\p{N}_]+')) as qt, list_distinct(t.t) as dt from rk join benchmark_queries b on b.query_uid = rk.query_id join toks t using (source_id) where rank <= 5),
@@ -487,7 +499,10 @@ def metrics_across_folds(spark: SparkSession, d: str) -> DataFrame:
 def _calibration(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
     top = _cosine(spark, d, 6).where("query_id != source_id").withColumn("source_id", F.col("source_id").cast("string"))
-    same = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("other"), "label"), "label").where("other != query_id")
+    hundred = F.floor(F.col("vec_id") / 100).alias("hundred")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", hundred)
+    # a question's gold are the vectors of its label among its own hundred ids: no list grows with the table
+    same = asked.join(e.select(F.col("vec_id").alias("other"), "label", hundred), ["label", "hundred"], "left").withColumn("other", F.when(F.col("other") != F.col("query_id"), F.col("other")))
     gold = same.groupBy("query_id", "label").agg(F.array_sort(F.collect_list(F.col("other").cast("string"))).alias("expected_primary"))
     gold = gold.select("query_id", F.col("label").cast("string").alias("difficulty"), "expected_primary", F.array().cast("array<string>").alias("expected_complement"), F.array().cast("array<string>").alias("must_not_include"))
     tried = materialize(evaluation.at_thresholds(top.select("query_id", "source_id", "rank", F.round("score", 9).alias("score")), gold), "tried")
@@ -495,7 +510,18 @@ def _calibration(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     return tried, folded, materialize(evaluation.calibrate(tried, folded), "calibrated")
 
 
-@query("calibrated_thresholds")
+_CALIBRATION = _COS + """, top as (select query_id, source_id, rank, round(score, 9) as score from r where rank <= 6 and query_id <> source_id),
+gold as (select a.vec_id as query_id, cast(a.label as varchar) as difficulty, list(b.vec_id) filter (where b.vec_id <> a.vec_id) as p from embeddings a join embeddings b on a.label = b.label and a.vec_id // 100 = b.vec_id // 100 where a.vec_id % 20 = 0 group by a.vec_id, a.label),
+grid as (select round(0.20 + 0.05 * range, 2) as threshold from range(16)),
+sel as (select threshold, g.query_id, any_value(g.p) as p, list(t.source_id) filter (where t.source_id is not null) as s from gold g cross join grid left join top t on t.query_id = g.query_id and t.score >= threshold group by 1, 2),
+prc as (select threshold, query_id, case when len(coalesce(s, [])) > 0 then len(list_intersect(s, coalesce(p, []))) / len(s) else 0 end as pr, case when len(coalesce(p, [])) > 0 then len(list_intersect(p, coalesce(s, []))) / len(p) else 1 end as rc from sel),
+m as (select threshold, query_id, round(case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end, 4) as f1 from prc),
+fold as (select query_id, cast((row_number() over (partition by difficulty order by md5(concat_ws('|', '42', query_id::varchar)), query_id) - 1) % 5 as int) as fold from gold),
+mean as (select t.fold, m.threshold, round(avg(m.f1), 10) as f from m join fold using (query_id) join (select range as fold from range(5)) t on t.fold <> fold.fold group by 1, 2)
+"""
+
+
+@query("calibrated_thresholds", _CALIBRATION + "select cast(fold as int) as fold, arg_max(threshold, struct_pack(f := f, neg := -threshold)) as threshold, round(max(f), 4) as train_f1 from mean group by 1")
 def calibrated_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return _calibration(spark, d)[2]
 
@@ -518,8 +544,9 @@ def holm(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower(strip_accents(lower(coalesce({c}, '')))), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1 and not list_contains([" + ", ".join(f"'{s}'" for s in sorted(set(X.STOPWORDS))) + "], t)))"
-_OVERLAP = f"""with src as (select source_id, max(description) as description from catalog_sources group by 1),
-st as (select source_id, {_TOK.format(c='description')} as d from src),
+_TEXTS = "select source_id, concat_ws(' ', nullif(max(embedding_hint), ''), nullif(max(description), ''), nullif(max(business_role), ''), nullif(max(when_to_use), '')) as text from catalog_sources group by 1"
+_OVERLAP = f"""with src as ({_TEXTS}),
+st as (select source_id, {_TOK.format(c='text')} as d from src),
 q as (select query_uid as query_id, {_TOK.format(c='query')} as q, unnest(coalesce(expected_primary, [])) as gid from benchmark_queries),
 j as (select query_id, q, d from q join st on trim(string_split(gid, ',')[1]) = st.source_id),
 o as (select query_id, any_value(q) as q, list_distinct(flatten(list(d))) as u from j group by 1),
@@ -528,7 +555,7 @@ ov as (select query_id, case when len(q) > 0 then len(list_intersect(q, u)) / le
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    src = table(spark, d, "catalog_sources").groupBy("source_id").agg(F.max("description").alias("text"))
+    src = statistics.catalog_texts(table(spark, d, "catalog_sources"))
     q = table(spark, d, "benchmark_queries").select(F.col("query_uid").alias("query_id"), "query", F.col("expected_primary").alias("gold"))
     return statistics.overlaps(q, src).where("overlap is not null")
 
@@ -538,6 +565,17 @@ def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).select("query_id", F.round("overlap", 6).alias("overlap"))
 
 
+@query("catalog_texts", _TEXTS)
+def catalog_texts(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.catalog_texts(table(spark, d, "catalog_sources"))
+
+
+@query("overlap_by_difficulty", _OVERLAP + "select coalesce(difficulty, 'unknown') as difficulty, count(*) as n, round(avg(overlap), 6) as mean_overlap from ov join benchmark_queries on query_uid = query_id group by 1")
+def overlap_by_difficulty(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "benchmark_queries").select(F.col("query_uid").alias("query_id"), F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"))
+    return statistics.mean_by_label(_overlaps(spark, d).join(labels, "query_id"), "difficulty")
+
+
 _BANDS = ", e as (select quantile_cont(overlap, [1/3, 2/3]) as e from ov), b as (select query_id, overlap, ['baixa', 'media', 'alta'][1 + (overlap >= e[1])::int + (overlap >= e[2])::int] as band from ov cross join e)"
 
 
@@ -561,36 +599,34 @@ def slopes(spark: SparkSession, d: str) -> DataFrame:
     return statistics.slope(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity").select("l_returnflag", "n", F.round("slope", 6).alias("slope"))
 
 
-def _model_results(spark: SparkSession, d: str, part: str = "true") -> DataFrame:
-    b = table(spark, d, "benchmark_queries").where(part).select(F.col("query_uid").alias("query_id"))
+def _model_results(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark_queries").select(F.col("query_uid").alias("query_id"))
     draw = lambda m: masking.uniform(F.lit(m), F.col("query_id"))
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (draw(m) * w).alias("f1")) for m, w in (("a", 1.0), ("b", 0.9), ("c", 0.7))]))
     return b.select("query_id", models.alias("m")).select("query_id", "m.model", "m.f1")
 
 
 def _draw_sql(m: str, w: float) -> str:
-    return f"select query_uid as query_id, '{m}' as model, {w} * (cast(concat('0x', substr(md5(concat_ws('|', '{m}', query_uid::varchar)), 1, 8)) as ubigint) / 4294967296.0) as f1 from benchmark_queries where query_uid % 20 = 0"
+    return f"select query_uid as query_id, '{m}' as model, {w} * (cast(concat('0x', substr(md5(concat_ws('|', '{m}', query_uid::varchar)), 1, 8)) as ubigint) / 4294967296.0) as f1 from benchmark_queries"
 
 
-#: The rows that the SQL of model_pairs and bootstrap_sql names.
-_STATED = "query_uid % 20 = 0"
 _MODELS = " union all ".join(_draw_sql(m, w) for m, w in (("a", 1.0), ("b", 0.9), ("c", 0.7)))
 
 
 @query("model_pairs", f"with r as ({_MODELS}) select concat(x.model, ' vs ', y.model) as comparison, count(*) as n, round(avg(x.f1 - y.f1), 6) as diff from r x join r y using (query_id) where x.model < y.model group by 1")
 def model_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = statistics.model_pairs(_model_results(spark, d, _STATED))
+    p = statistics.model_pairs(_model_results(spark, d))
     return p.groupBy("comparison").agg(F.count("*").alias("n"), F.round(F.avg(F.col("a") - F.col("b")), 6).alias("diff"))
 
 
 @query("bootstrap_sql", f"""with r as ({_MODELS}), p as (select concat(x.model, ' vs ', y.model) as comparison, x.query_id as key, x.f1 - y.f1 as d from r x join r y using (query_id) where x.model < y.model),
 o as (select comparison, d, row_number() over (partition by comparison order by key) - 1 as i from p), z as (select comparison, count(*) as n, avg(d) as estimate from o group by 1),
-w as (select comparison, n, b, slot from z cross join (select range as b from range(100)) cross join lateral (select range as slot from range(n))),
+w as (select comparison, n, b, slot from z cross join (select range as b from range(10000)) cross join lateral (select range as slot from range(n))),
 h as (select comparison, b, cast(concat('0x', substr(md5(concat_ws('|', '42', b::varchar, slot::varchar)), 1, 8)) as ubigint)::bigint % n as i from w),
 m as (select comparison, b, avg(d) as m from h join o using (comparison, i) group by 1, 2)
 select comparison, any_value(n) as n, round(any_value(estimate), 6) as estimate, round(least(1.0, 2 * least(avg((m >= 0)::int), avg((m <= 0)::int))), 6) as p_raw, round(quantile_cont(m, 0.025), 6) as ci_low, round(quantile_cont(m, 0.975), 6) as ci_high from m join z using (comparison) group by 1""")
 def bootstrap_sql(spark: SparkSession, d: str) -> DataFrame:
-    got = statistics.bootstrap_sql(statistics.model_pairs(_model_results(spark, d, _STATED)), 100)
+    got = statistics.bootstrap_sql(statistics.model_pairs(_model_results(spark, d)), statistics.RESAMPLES)
     return got.select("comparison", "n", *[F.round(c, 6).alias(c) for c in ("estimate", "p_raw", "ci_low", "ci_high")])
 
 
@@ -694,7 +730,7 @@ def synthetic_database(spark: SparkSession, d: str) -> DataFrame:
     return render.synthesis_report(tables, kept).join(F.broadcast(profile.fk_coverage(kept["orders"], "o_custkey", kept["customer"], "c_custkey").select("orphans")))
 
 
-@query("constraints_left", "select 'customer' as table_name, 'c_custkey' as column_name union all select 'orders', 'o_orderkey'")
+@query("constraints_left", " union all ".join(f"select '{t}' as table_name, '{c}' as column_name where exists (select 1 from {t} where {w})" for t, c, w in (("customer", "c_custkey", "true"), ("orders", "o_orderkey", "true"), ("part", "p_partkey", "false"))))
 def constraints_left(spark: SparkSession, d: str) -> DataFrame:
     tables = {"customer": table(spark, d, "customer"), "orders": table(spark, d, "orders"), "part": table(spark, d, "part").limit(0)}
     pk = spark.createDataFrame([("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey")], "TABLE_NAME string, COLUMN_NAME string")
@@ -713,14 +749,15 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = source if glob.glob(f"{source}/*.parquet") else f"{d}/events*.parquet"
     arriving = windows.event_time(windows.read_stream(spark, path, schema))
-    counted = windows.windowed(arriving, ["event_type"], size="1 day", late="3650 days")
+    counted = windows.windowed(arriving, ["event_type"], size="1 day", late="7 days")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/result")
+        batch.write.mode("overwrite").parquet(f"{out}/result/batch={number}")  # a batch that is run again replaces itself
 
-    q = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    q = counted.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    back = spark.read.parquet(f"{out}/result")
+    last = F.max_by(F.struct("n", "total"), "batch").alias("s")
+    back = spark.read.parquet(f"{out}/result").groupBy("window_start", "event_type").agg(last).select("window_start", "event_type", "s.*")
     return back.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

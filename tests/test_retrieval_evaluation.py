@@ -134,3 +134,38 @@ def test_text_functions(spark):
     answers = ['{"sources": ["sql.a"]}', 'é {"sources": ["api.b"]} sim', "uso sql.a e sql.a e api.b_c", "nada"]
     got = [r[0] for r in spark.createDataFrame([(a,) for a in answers], "a string").select(X.parse_source_list(F.col("a"))).collect()]
     assert got == [["sql.a"], ["api.b"], ["sql.a", "api.b_c"], []]
+
+
+def test_blocks_meet_by_key_as_in_one_pass(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(300, [0.0] * 4), (301, None)], "vec_id bigint, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    rows = lambda t: {(r.query_id, r.rank, r.source_id) for r in t.collect()}
+    whole = rows(retrieval.cosine_top_k(asked, df, 3))
+    for name, value in (("BROADCAST_CELLS", 0), ("QUERY_BLOCK", 5), ("VECTOR_PART", 40)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert rows(retrieval.cosine_top_k(asked, df, 3)) == whole and len(whole) == 16 * 3
+    assert retrieval.cosine_scores(asked, df).count() == 16 * 301
+
+
+def test_prefixes_and_catalog_texts(spark):
+    from lavra.operators import statistics
+    from lavra.plans import benchmark
+
+    assert benchmark.Selector("e5-base").prefixes() == ("query: ", "passage: ") and benchmark.Selector("e5-large-instruct", task="T").prefixes() == ("Instruct: T\nQuery: ", "passage: ")
+    sources = spark.createDataFrame([("sql.t", "h", "d", "", None), ("sql.t", "h", "d", "", None)], "source_id string, embedding_hint string, description string, business_role string, when_to_use string")
+    columns = spark.createDataFrame([("sql.t", "b", 1, "dois"), ("sql.t", "a", 0, None)], "source_id string, column_name string, ordinal int, description string")
+    assert [tuple(r) for r in statistics.catalog_texts(sources, columns).collect()] == [("sql.t", "h d a b dois")]
+
+
+def test_dictionary_in_blocks_reads_as_one(spark, monkeypatch):
+    from lavra.operators import mapping
+
+    refs = mapping.lookup(spark.createDataFrame([(f"nome {c}", c, i) for i, c in enumerate("abcdefgh")], "key string, code string, ord bigint"))
+    values = spark.createDataFrame([("nome a",), ("nomes c",), ("nome",), (None,)], "value string")
+    rows = lambda: {tuple(r) for r in mapping.fuzzy(values, refs, 2).collect()}
+    whole = rows()
+    monkeypatch.setattr(mapping, "REFERENCE_ROWS", 3)
+    assert rows() == whole and len(whole) == 6
