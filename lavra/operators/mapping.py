@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions.text import code_number, is_blank, normalize_text, strip, year_suffix, zero_padded_code
 from lavra.operators.numbering import number_rows
-from lavra.session import materialize
+from lavra.session import materialize, parallelism
 
 SUGGESTIONS = 3
 #: Entries of a dictionary that the driver reads and sends at a time.
@@ -96,6 +96,7 @@ def fuzzy(values: DataFrame, refs: DataFrame, top: int = 1, floor: float = 0.0)
     as a stated query set, cut by an exact upper bound of the ratio. Nulls have no row.
     """
     asked = values.where("value is not null").select("value").distinct().select("value", normalize_text(F.col("value")).alias("norm"))
+    asked = asked.repartition(2 * parallelism(values.sparkSession), "value")  # few small rows, but much work on each
     blocks = max(1, -(-refs.count() // REFERENCE_ROWS))
     dealt = refs.withColumn("__block", F.pmod(F.xxhash64("key", "ord"), F.lit(blocks)))
     parts = []
@@ -137,7 +138,7 @@ def cascade(rows: DataFrame, column: str, order: str, mapping: DataFrame, rule:
     none = {"score": F.lit(None).cast("double"), "ref": F.lit(None).cast("string")}
     found = done.where("code is not null").withColumns(none)
     rest = done.where("code is null").drop("code", "stage")
-    if rule is not None:
+    if rule is not None and not refs.isEmpty():
         near = fuzzy(rest, refs, 1, rule.threshold).where(passes(F.col("score"), rule)).select("value", F.col("code").alias("code"), F.round("score", 4).alias("score"), "ref")
         near = materialize(near, "similar")
         found = found.unionByName(rest.join(near, "value").withColumn("stage", F.lit("similarity")))

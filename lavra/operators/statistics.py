@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.functions.text import content_tokens, first_label, set_overlap
+from lavra.session import parallelism
 
 RESAMPLES, SEED, ALPHA = 10_000, 42, 0.05
 #: Resamples of a block, and values that a block holds at once.
@@ -88,7 +89,8 @@ def bootstrap_sql(pairs: DataFrame, n_boot: int = 200, seed: int = SEED) -> Data
     """The mean bootstrap without Python: draws are hashes of (seed, resample, position), so any engine repeats them."""
     ordered = pairs.withColumn("i", F.row_number().over(Window.partitionBy("comparison").orderBy("key")) - 1).select("comparison", "i", (F.col("a") - F.col("b")).alias("d"))
     sizes = ordered.groupBy("comparison").agg(F.count("*").alias("n"), F.avg("d").alias("estimate"))
-    draws = sizes.select("comparison", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select("comparison", "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
+    draws = sizes.select("comparison", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).repartition(2 * parallelism(pairs.sparkSession), "comparison", "b")
+    draws = draws.select("comparison", "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint")
     means = draws.withColumn("i", hashed % F.col("n")).join(ordered, ["comparison", "i"]).groupBy("comparison", "b").agg(F.avg("d").alias("m"))
     tails = means.groupBy("comparison").agg(F.avg((F.col("m") >= 0).cast("double")).alias("up"), F.avg((F.col("m") <= 0).cast("double")).alias("down"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
