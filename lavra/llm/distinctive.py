@@ -46,5 +46,8 @@ def weights(collection: DataFrame, mu: float = 200.0, min_df: int = 2) -> DataFr
 
 
 def typical(weighted: DataFrame, min_tf: int = 2, min_df: int = 2, max_df: int = 5) -> DataFrame:
-    """Terms that are frequent in the record, shared with few others, and weigh for the record rather than against it."""
+    """Terms that are frequent in the record and shared with few others, by the counts that the weights are made of.
+
+    The weight itself ranks terms of a record and sets no bar here, as none is wanted beside these counts.
+    """
     return weighted.where((F.col("tf") >= min_tf) & F.col("df").between(min_df, max_df))

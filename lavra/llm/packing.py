@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,10 @@ def tokenizer(path: str):
 def token_counts(docs: DataFrame, path: str = TOKENIZER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of every document whose text is not null, whole texts, no shuffle."""
 
+    docs.sparkSession.sparkContext.addFile(path)  # the vocabulary goes with the job; executors need no file of their own
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(SparkFiles.get(os.path.basename(path))).encode_ordinary
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t)) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -68,3 +69,14 @@ def test_counts_equal_the_tokenizer(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     enc = packing.tokenizer(packing.TOKENIZER)
     assert {r.doc_id: r.n_tokens for r in packing.token_counts(df).collect()} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts) if t is not None}
+
+
+@pytest.mark.parametrize("capacity", [512, 2048, 8192, 32768])
+def test_little_room_stays_unused(capacity):
+    rng = random.Random(capacity)
+    packer, used = packing.Packer(capacity), 0
+    for _ in range(50_000):
+        size = min(capacity, int(rng.lognormvariate(5, 1)) + 1)
+        packer.put(size)
+        used += size
+    assert 1 - used / (packer.made * capacity) < 0.02
