@@ -40,7 +40,7 @@ CUES = {
     "precisa precisam needs need needed noscript bloqueou bloqueia bloqueado desativou desativado aceita suporta executa execucao execute client app continue continuar without work uso use loja antes seguir",
     "fill": "descreva descrever preencha preencher preenchido inserir insira informe informar digite digitar completar complete escreva escrever explique resuma detalhe indique coloque cole anote texto campo resumo descricao titulo nota secao trecho "
     "frase palavras aqui depois definir definida provisorio provisoria exemplo pendente elaboracao construcao ver revisar tarde sem ainda placeholder principais previsto suas tabela contem papel setor responsavel entre vinte quarenta quando usar usam espaco escrito escrita consultar",
-    "filler": "lorem ipsum dolor amet consectetur adipiscing elit sed sit eiusmod tempor incididunt labore magna aliqua teste test foo bar baz abc xyz bla blah undefined null fulano tal sicrano",
+    "filler": "lorem ipsum dolor amet consectetur adipiscing elit sed sit eiusmod tempor incididunt labore magna aliqua teste test foo bar baz abc xyz bla blah undefined null fulano tal sicrano qwerty asdfgh zxcvbn",
 }
 #: Cues that real content uses all the time; they count only beside others.
 COMMON = frozenset("tabela setor quando usar uso papel fonte codigo entre pedido ler ver recurso campo descricao texto nota titulo visao precisa indique existe principais previsto ativo interno internal host use view status tal consultar".split())
@@ -52,7 +52,7 @@ REPORTS = frozenset(
 )
 LINKS = frozenset("a o as os um uma de do da dos das e em no na nos nas ao aos para por com que se the of to and in on is are be this that your our for you we it at an este esta esse essa seu sua ser ter mais ja outra outro vez right now here nao not will does".split())
 #: Cue words that may be misspelt, by their first two letters.
-_KNOWN = CUE | REPORTS | LINKS | {"principal", "pedidos"}
+_KNOWN = CUE | REPORTS | LINKS | {"principal", "pedidos", "carregador", "carregadores"}
 _LONG: dict[str, list[str]] = {}
 for _k in sorted(CUE):
     if len(_k) >= 5:
@@ -81,7 +81,8 @@ STRONG = [
 WEAK = [
     rf"(?:^|[\W])(?:por )?ex\.?\s*:?\s*(?:{ASK}|consultar|usar|tabela|fonte|lista)\b", rf"^\W*{ASK}\b", rf"\b{ACT}\b[^.!?]{{0,60}}\b(?:aqui|depois)\b", rf"\ba {ACT}\b", r"\bem (?:elaboracao|construcao)\b", r"\b(?:com suas palavras|(?:em|numa) uma frase|vai aqui|aqui vai)\b", rf"\b{ASK} (?:entre|neste|nesta|o|a|os|as|com|em)\b",
     r"\b(?:resumo|campo|texto|descricao|conteudo|nota|trecho|secao) (?:provisori[oa]|ainda|em elaboracao)\b", r"\b(?:resumo|campo|texto|descricao|conteudo|nota) pendente(?=\W*$| pelo setor)",
-    r"\bnome_d[aeo]_\w+", r"\b[a-z]+_[xyz]\b", r"\b(?:fulano|sicrano|beltrano) de tal\b", r"\babc 123\b", r"\baaa bbb\b", rf"^\W*{DUMMY}\W*$", r"\btimeout (?:ao|em|while|after|error)\b", r"\bops!", r"\b(?:sessao|token|acesso|session)\b[^.!?]{0,14}\b(?:expirou|caiu|valid[oa]|encerrad[oa]|expired)\b",
+    r"\bnome_d[aeo]_\w+", r"\b[a-z]+_[xyz]\b", r"\b(?:fulano|sicrano|beltrano) de tal\b", r"\babc 123\b", r"\baaa bbb\b", rf"^\W*{DUMMY}\W*$", r"\btimeout (?:ao|em|while|after|error)\b", r"\bops!", r"\b(?:cannot|could not|unable to|failed to) [a-z]+ (?:your|the|this|our|requested)\b", r"\b(?:recurso|pagina|endereco|conteudo) (?:pedid|solicitad|procurad)[oa]\b",
+    r"\b(?:javascript|js|scripts?|scripting|cookies) (?:is|are|must be) (?:required|needed|necessary|disabled|enabled)\b", r"\berro (?:ao|de|na|no) (?:conexao|conectar|carregar|abrir|ler|leitura|acesso)\b", r"\b(?:sessao|token|acesso|session)\b[^.!?]{0,14}\b(?:expirou|caiu|valid[oa]|encerrad[oa]|expired)\b",
 ]
 #: Whole fields that say nothing, as words without the marks between them.
 NON_VALUES = r"(?:n [adi]|na|nd|null|none|nan|nil|undefined|void|vazio|nenhum[oa]?|sem (?:informacao|dados|texto|conteudo)|nao (?:informad[oa]|disponivel|se aplica|ha|consta)|desconhecid[oa]|pendente|todo|manual|x+|z+|0+|1234?5?6?|s n|s d|tbc|tba|teste|test|texto|exemplo|foo|bar|xyz|abc)"
@@ -111,6 +112,8 @@ def _run(token: str) -> bool:
 def _mashed(folded: str) -> bool:
     """Whether a longer word is a keyboard run, or two tokens beside each other are, or the only one is."""
     tokens = _TYPED.findall(folded)
+    if any(len(t) > 5 and t.isalpha() and max(map(t.count, set(t))) >= 0.75 * len(t) for t in tokens):
+        return True  # one letter over and over
     run = [_run(t) for t in tokens]
     return any(r and t.isalpha() and (len(t) > 3 or k and run[k - 1] or run[k + 1 : k + 2] == [True] or len(tokens) == 1) for k, (t, r) in enumerate(zip(tokens, run)))
 
@@ -200,7 +203,7 @@ def weak(righted: str, about: frozenset[str] | set[str]) -> tuple[int, int, str]
         form = None if end else next((m for p in _WEAK if (m := p.search(segment))), None)
         if form:
             start = len(_LETTERS.findall(segment[: form.start()]))
-            end = min(len(tokens), start + LOW_INFORMATION)
+            end = start + max(1, len(_LETTERS.findall(form.group())))
         if end:
             told = [t for t in tokens[start:end] if t not in LINKS]
             found.append((len(about.intersection(told)), len(told), " ".join(tokens[start:end])))
