@@ -152,11 +152,8 @@ class Copula:
         def make(batches):
             for pdf in batches:
                 ids = pdf["id"].to_numpy()
-                z = np.empty((len(ids), len(columns)))
-                miss = np.empty((len(ids), len(columns)))
-                for r, i in enumerate(ids):
-                    rng = np.random.default_rng((seed, int(i)))
-                    z[r], miss[r] = rng.standard_normal(len(columns)), rng.random(len(columns))
+                z = np.interp(uniform(ids, len(columns), seed), _PHI, _Z)
+                miss = uniform(ids, len(columns), seed + 1)
                 u = np.interp(z @ root.T, _NORMAL, _GRID)
                 p = np.interp(z @ root.T, _Z, _PHI)  # up to the ends, so that rare values are drawn too
                 made = {"__row": ids}
@@ -190,6 +187,18 @@ class Copula:
         return raw.select(*[typed(f) for f in fields], *(["__row"] if numbered else []))
 
 
+def uniform(ids: np.ndarray, columns: int, seed: int) -> np.ndarray:
+    """A number in [0, 1) for every row and column from the row's number and the seed alone, a whole batch at a time (SplitMix64)."""
+    with np.errstate(over="ignore"):
+        # fixed values: the increment and the two multipliers of SplitMix64
+        x = ids.astype(np.uint64)[:, None] * np.uint64(columns + 1) + np.arange(1, columns + 1, dtype=np.uint64) + np.uint64(seed % 2**32) * np.uint64(2**32 + 15)
+        x = x * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 class _Counts:
     """The counts of a written table of values, from the highest: cumulated rows, and places among values of equal count."""
 
@@ -223,6 +232,16 @@ def synthesize(df: DataFrame, rows: int | None = None, seed: int = 42, key: str
     return model.sample(df.sparkSession, model.rows if rows is None else rows, seed, key, numbered)
 
 
+def _along(x: np.ndarray, y: np.ndarray):
+    """The broken line through (x, y) as a function of a column; as many points as there are different child counts."""
+
+    @F.pandas_udf("double")
+    def of(u: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(u, x, y))
+
+    return of
+
+
 def synthesize_database(tables: dict[str, DataFrame], primary: dict[str, str], foreign: list[tuple[str, str, str, str]], scale: float = 1.0, seed: int = 42) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
     """(synthetic tables, foreign keys left out): keys are numbered anew and children point to synthetic parents (SYN-02).
 
@@ -248,11 +267,8 @@ def synthesize_database(tables: dict[str, DataFrame], primary: dict[str, str], f
                 at.append(at[-1] + r["parents"] / real)
             share = min(1.0, real / max(1, sizes[parent]))
             u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{column}"), F.col("__row").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-            place = F.lit(0.0)
-            for a0, a1, b0, b1 in zip(upto, upto[1:], at, at[1:]):
-                if a1 > a0:
-                    place = F.when((F.col("__u") >= a0) & (F.col("__u") < a1), b0 + (F.col("__u") - a0) / (a1 - a0) * (b1 - b0)).otherwise(place)
-            out = out.withColumn("__u", u).withColumn(column, (F.floor(place * share * n) + 1).cast(df.schema[column].dataType)).drop("__u")
+            place = _along(np.array(upto), np.array(at))(u)
+            out = out.withColumn(column, (F.floor(place * share * n) + 1).cast(df.schema[column].dataType))
         made[t] = out.select(*[c for c in df.columns if c in out.columns])
     return made, dropped
 

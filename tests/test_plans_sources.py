@@ -321,3 +321,13 @@ def test_blocks_of_endpoints_and_workbooks_and_footer(spark):
     text = render.context("q?", blocks, ["api.e"], [("r1", "tem endpoint")])
     assert "1 de 2 fontes" in text and "- r1: tem endpoint" in text and "spreadsheets.f" not in text
     assert "### api.e" in render.system_prompt(blocks)
+
+
+def test_draws_are_even_and_free_of_their_neighbours():
+    import numpy as np
+
+    u = synthesis.uniform(np.arange(20_000), 4, 42)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(u.std() - 12**-0.5) < 0.01 and u.min() >= 0 and u.max() < 1
+    c = np.corrcoef(np.concatenate([u, np.roll(u, 1, axis=0)], axis=1).T)
+    assert np.abs(c - np.eye(8)).max() < 0.03
+    assert (synthesis.uniform(np.array([7]), 4, 42) == u[7]).all() and not (synthesis.uniform(np.array([7]), 4, 43) == u[7]).any()
