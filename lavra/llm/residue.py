@@ -89,7 +89,9 @@ NON_VALUES = r"(?:n [adi]|na|nd|null|none|nan|nil|undefined|void|vazio|nenhum[oa
 WHOLE = rf"(?:{NON_VALUES}(?: |$))+$"
 LITERAL = r"(?<![\w\-/])(?:null|none|undefined|nan|n/a)(?![\w\-/])"
 
-_STRONG = [re.compile(p) for p in STRONG]
+#: Marks without which a pattern cannot match, by how the pattern begins: a look for them is cheaper than a search.
+_NEEDED = {r"\[": "[", r"\{": "{", r"\$": "${", "<": "<", "%%": "%%", "%[": "%", "__": "__", "_{": "___", "#": "#", "@@": "@@", "«": "«", r"(?:^|\s):": ":", r"\.{4": "...."}
+_STRONG = [(next((mark for start, mark in _NEEDED.items() if p.startswith(start)), ""), re.compile(p)) for p in STRONG]
 _WEAK = [re.compile(p) for p in WEAK]
 _WHOLE = re.compile(WHOLE)
 _LITERAL = re.compile(LITERAL)
@@ -189,7 +191,7 @@ def says_nothing(folded: str) -> bool:
 
 
 def strong(folded: str) -> bool:
-    return says_nothing(folded) or _LITERAL.search(folded) is not None or any(p.search(folded) for p in _STRONG) or _mashed(folded)
+    return says_nothing(folded) or _LITERAL.search(folded) is not None or any(mark in folded and p.search(folded) for mark, p in _STRONG) or _mashed(folded)
 
 
 def weak(righted: str, about: frozenset[str] | set[str]) -> tuple[int, int, str] | None:
@@ -210,17 +212,28 @@ def weak(righted: str, about: frozenset[str] | set[str]) -> tuple[int, int, str]
     return min(found, default=None)
 
 
-def detect(text: str, about: frozenset[str] | set[str] = frozenset(), cache: dict[str, str] | None = None) -> tuple[int, int, int, str]:
-    """(sign, shared, terms, words): sign 2 for a strong sign, 1 for a weak segment, else 0."""
+def _read(text: str, cache: dict) -> tuple[int, str]:
+    """(2 for a strong sign, 0 for no text, else 1, the folded text with misspelt cues put right)."""
     folded = fold_text(text)
     if not folded:
-        return 0, 0, 0, ""
+        return 0, ""
     if _TODO.search(text) or strong(folded):
-        return 2, 0, 0, ""
-    cache = {} if cache is None else cache
+        return 2, ""
     righted = _TOKEN.sub(lambda m: _right(cache, m.group()), folded)
-    if righted != folded and strong(righted):
-        return 2, 0, 0, ""
+    return (2, "") if righted != folded and strong(righted) else (1, righted)
+
+
+def detect(text: str, about: frozenset[str] | set[str] = frozenset(), cache: dict | None = None) -> tuple[int, int, int, str]:
+    """(sign, shared, terms, words): sign 2 for a strong sign, 1 for a weak segment, else 0."""
+    cache = {} if cache is None else cache
+    read = cache.get((text,)) if len(text) < 500 else None
+    if read is None:
+        read = _read(text, cache)
+        if len(text) < 500 and len(cache) < 200_000:
+            cache[text,] = read
+    sign, righted = read
+    if sign != 1:
+        return sign, 0, 0, ""
     told = weak(righted, about)
     return (1, *told) if told else (0, 0, 0, "")
 
