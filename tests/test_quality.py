@@ -118,3 +118,22 @@ def test_repeated_rows_weigh_as_often_as_they_occur(spark):
     loads = {1: [("a", "AB", 1)] * 5000 + [("b", "AB", 1)] * 5000, 2: [("a", "AB", 1)] * 9000 + [("b", "AB", 1)] * 1000}
     got = two_sample(spark, loads, spark.createDataFrame([(2, 1, 1, 1)], LOADS))
     assert got["c"].value_fit == pytest.approx(0.2) and got["c"].n == 20_000
+
+
+def test_no_table_of_loads_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def ran(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    written = quality.materialize
+    monkeypatch.setattr(quality, "CHUNK", 16)
+    monkeypatch.setattr(quality, "materialize", lambda df, *a: (ran(df), written(df, *a))[1])
+    loads = {i: [("abcd"[j % (2 * i)], "AB", j) for j in range(60)] for i in (1, 2)}
+    told = spark.createDataFrame([(1, None, 60, 3), (2, 1, 60, 3)], LOADS)
+    declared = spark.createDataFrame([(1, "c", 0.0, 9)], "load_id bigint, column_name string, null_rate double, cardinality bigint")
+    got = {tuple(r) for r in ran(quality.findings(make(spark, loads), told, declared, forms(spark)))}
+    assert {(1, "c", "cardinality"), (2, "c", "value_shift"), (2, "n", "range")} <= got
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 10 and not [p for p in plans if "Broadcast" in p]
