@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lavra.functions.text import bm25_tokens
 from lavra.session import materialize
@@ -20,6 +21,8 @@ ENCODERS = {"minilm": ("", "", 0.30), "e5-base": ("query: ", "passage: ", 0.79),
 QUERY_BLOCK, VECTOR_PART, BROADCAST_CELLS = 1024, 65_536, 4_000_000
 #: Source ids of a block of the fallback.
 SOURCE_BLOCK = 1024
+#: Documents that a BM25 task holds, most queries that it answers with them, and queries that are worth a task.
+DOC_PART, ASKED_BLOCK, ASKED_LEAST = 500_000, 25_000, 250
 TYPE_ORDER = ("sql", "api", "spreadsheets")
 
 
@@ -100,6 +103,153 @@ def bm25_scores(queries: DataFrame, postings: DataFrame, terms: DataFrame) -> Da
     return scored.join(best, "query_id").select("query_id", "source_id", "score", (F.col("score") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)).alias("normalized"))
 
 
+class _Postings:
+    """Documents in the order of their ids, with the saturated counts of their words by document and by word."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, dl: np.ndarray, avgdl: float):
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        first = np.ones(len(words), dtype=bool)
+        first[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(first)
+        tf = np.diff(at, append=len(words))
+        self.word, doc = words[at], doc[at]
+        self.by_doc = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+        self.doc_at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(lengths)))])
+        n_words = int(words.max(initial=-1)) + 1
+        order = np.argsort(self.word, kind="stable")
+        self.doc, self.by_word = doc[order], self.by_doc[order]
+        self.word_at = np.concatenate([[0], np.cumsum(np.bincount(self.word, minlength=n_words))])
+        self.most = np.zeros(n_words)
+        np.maximum.at(self.most, self.word, self.by_doc)
+        self.partial, self.weight = np.zeros(len(lengths)), np.zeros(n_words)
+
+    def scores(self, docs: np.ndarray) -> np.ndarray:
+        """Whole scores under self.weight, for documents that have a posting, each summed in the order of its words."""
+        n = self.doc_at[docs + 1] - self.doc_at[docs]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(self.doc_at[docs] - ends + n, n)
+        return np.add.reduceat(self.weight[self.word[at]] * self.by_doc[at], ends - n)
+
+    def top(self, words: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every document that can be among the k best after rounding to nine digits, ties by id, with its score.
+
+        Rare words come first. What is left of a query bounds the documents that no word has met so far; once the k-th
+        partial score is beyond that, the common words are looked up for the documents in reach only.
+        """
+        there = words < len(self.most)
+        words, weights = words[there], weights[there]
+        starts, ends = self.word_at[words], self.word_at[words + 1]
+        order = np.lexsort((ends - starts, weights >= 0))
+        order = order[(ends > starts)[order]]
+        bounds = np.maximum(weights * self.most[words], 0)[order]
+        left = np.concatenate([np.cumsum(bounds[::-1])[::-1], [0.0]])
+        slack = 2e-9 * max(left[0], 1.0)
+        floor, pool, met, rest = -np.inf, np.zeros(0, dtype=np.int32), [], 0.0
+        for i, j in enumerate(order):
+            if weights[j] >= 0 and floor - slack > left[i]:
+                rest = left[i]
+                break
+            docs = self.doc[starts[j] : ends[j]]
+            now = self.partial[docs] + weights[j] * self.by_word[starts[j] : ends[j]]
+            self.partial[docs] = now
+            met.append(docs)
+            if len(docs) > k:  # the k best of the documents that a word has met are among the k best of some word
+                high = np.flatnonzero(now >= floor)
+                docs = docs[high if len(high) <= k else high[np.argpartition(now[high], -k)[-k:]]]
+            pool = np.union1d(pool, docs)
+            if len(pool) >= k:
+                floor = np.partition(self.partial[pool], -k)[-k]
+                if weights[j] < 0:
+                    floor = -np.inf
+        reach = [docs[self.partial[docs] >= floor - slack - rest] for docs in met]
+        for docs in met:
+            self.partial[docs] = 0
+        docs = np.unique(np.concatenate(reach)) if reach else pool
+        if not len(docs):
+            return docs, np.zeros(0)
+        self.weight[words] = weights
+        scores = self.scores(docs)
+        self.weight[words] = 0
+        if len(docs) > k:
+            near = scores >= np.partition(scores, -k)[-k] - slack
+            docs, scores = docs[near], scores[near]
+            order = np.lexsort((docs, -scores))
+            docs, scores = docs[order], scores[order]
+            fresh = np.concatenate([[True], scores[1:] != scores[:-1]])
+            place = np.arange(len(docs)) - np.maximum.accumulate(np.where(fresh, np.arange(len(docs)), 0))
+            docs, scores = docs[place < k], scores[place < k]
+        return docs, scores
+
+
+def _bm25_block(k: int, avgdl: float, names: list[str]):
+    def flat(parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        whole = pa.concat_arrays(parts)
+        return whole.flatten().to_numpy(zero_copy_only=False), whole.value_lengths().to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index, ids = [], None, None
+        for batch in batches:
+            asked = batch.column("asked")
+            n_docs = len(asked) - asked.true_count
+            if n_docs:
+                held.append(batch.slice(0, n_docs))
+            if n_docs == len(asked) or not held:
+                continue
+            if index is None:
+                ids = pa.concat_arrays([b.column("source_id") for b in held])
+                words, lengths = flat([b.column("words") for b in held])
+                index = _Postings(words, lengths, np.concatenate([b.column("dl").to_numpy(zero_copy_only=False) for b in held]), avgdl)
+                held = [held[0].slice(0, 0)]
+            rows = batch.slice(n_docs)
+            words, lengths = flat([rows.column("words")])
+            idf, at = flat([rows.column("idf")])[0], np.concatenate([[0], np.cumsum(lengths)])
+            found, of, scores = [], [], []
+            for i in range(len(rows)):
+                own, first, times = np.unique(words[at[i] : at[i + 1]], return_index=True, return_counts=True)
+                docs, s = index.top(own, times * idf[at[i] : at[i + 1]][first], k)
+                found.append(docs)
+                of.append(np.full(len(docs), i))
+                scores.append(s)
+            yield pa.RecordBatch.from_arrays([rows.column("query_id").take(pa.array(np.concatenate(of))), ids.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], names=names)
+
+    return run
+
+
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, key: str = "source_id", text: str = "doc") -> DataFrame:
+    """bm25_scores of the pairs that can be among each query's k best, by score in nine digits and then by source; the rest is never made.
+
+    docs: one row for each key. Blocks of queries meet parts of the documents in a task each, which holds the part's
+    postings and answers query by query; only a few rows over k for each query and part leave it. So shuffled are the
+    words of the documents once for each block of queries and those of the queries once for each part.
+    """
+    spark = docs.sparkSession
+    tokens = materialize(docs.select(F.col(key).alias("source_id"), bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")), "bm25-tokens")
+    size = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("words")).first()
+    n_docs, avgdl, n_asked = size["n"], size["words"] / max(size["n"], 1), queries.count()
+    df = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = materialize(df.select("term", (F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "bm25-terms")
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    asked = queries.select("query_id", F.explode(bm25_tokens(F.coalesce("query", F.lit("")))).alias("term"))
+    dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) * dealt + F.spark_partition_id()  # close to consecutive
+    common = raw.join(asked.select("term").distinct(), "term").repartition(dealt, "term")
+    known = materialize(common.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"), number.cast("int").alias("word")), "bm25-known")
+
+    held = tokens.select("source_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(known, "term").groupBy("source_id", "dl").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    put = asked.join(known, "term").groupBy("query_id").agg(F.collect_list(F.struct("word", "idf")).alias("w"))
+    n_parts = max(1, -(-n_docs // DOC_PART))
+    n_blocks = max(1, -(-n_asked // ASKED_BLOCK), min(2 * spark.sparkContext.defaultParallelism, -(-n_asked // ASKED_LEAST)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = {"query_id": queries.schema["query_id"].dataType, "source_id": tokens.schema["source_id"].dataType}
+    left = held.select(every(n_blocks).alias("block"), F.pmod(F.xxhash64("source_id"), F.lit(n_parts)).cast("int").alias("part"), F.lit(False).alias("asked"), F.lit(None).cast(kinds["query_id"]).alias("query_id"), "source_id", "dl", "words", F.lit(None).cast("array<double>").alias("idf"))
+    right = put.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"), every(n_parts).alias("part"), F.lit(True).alias("asked"), "query_id", F.lit(None).cast(kinds["source_id"]).alias("source_id"), F.lit(0).alias("dl"), F.col("w.word").alias("words"), F.col("w.idf").alias("idf"))
+    met = left.unionByName(right).repartitionById(n_blocks * n_parts, F.col("block") * n_parts + F.col("part")).sortWithinPartitions("asked", "source_id")
+    schema = T.StructType([*(T.StructField(c, t) for c, t in kinds.items()), T.StructField("score", T.DoubleType())])
+    found = materialize(met.drop("block", "part").mapInArrow(_bm25_block(k, avgdl, schema.names), schema), "bm25-best")
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return found.withColumn("best", best).select("query_id", "source_id", "score", (F.col("score") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)).alias("normalized"))
+
+
 # ---------------------------------------------------------------- cosine (MTH-03, MTH-04, RET-05)
 def l2_normalized(c: Column) -> Column:
     """The vector over its length; a zero vector stays (MTH-04)."""

@@ -349,7 +349,7 @@ def keyword_routing(spark: SparkSession, d: str) -> DataFrame:
 def _bm25_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = table(spark, d, "catalog_sources").groupBy("source_uid").agg(F.max("embedding_hint").alias("h"), F.max("description").alias("t"))
     docs = s.select(F.col("source_uid").alias("source_id"), F.coalesce("h", "t", F.lit("")).alias("doc"))
-    return table(spark, d, "benchmark_queries").where("query_uid % 20 = 0").select(F.col("query_uid").alias("query_id"), "query"), docs
+    return table(spark, d, "benchmark_queries").select(F.col("query_uid").alias("query_id"), "query"), docs
 
 
 _BM25 = """
@@ -359,7 +359,7 @@ post as (select source_id, dl, term, count(*) as tf from (select source_id, len(
 tot as (select count(*) as n, avg(len(t)) as avgdl from toks),
 idf0 as (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw from (select term, count(*) as df from post group by 1) cross join tot),
 idf as (select term, case when raw < 0 then 0.25 * m else raw end as idf from idf0 cross join (select avg(raw) as m from idf0)),
-q as (select query_uid as query_id, term, count(*) as qtf from (select query_uid, unnest(regexp_extract_all(lower(coalesce(query, '')), '[\\p{L}\\p{N}_]+')) as term from benchmark_queries where query_uid % 20 = 0) group by all),
+q as (select query_uid as query_id, term, count(*) as qtf from (select query_uid, unnest(regexp_extract_all(lower(coalesce(query, '')), '[\\p{L}\\p{N}_]+')) as term from benchmark_queries) group by all),
 sc as (select query_id, source_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) as score from q join idf using (term) join post using (term) cross join tot group by all),
 nm as (select *, score / (case when max(score) over (partition by query_id) > 0 then max(score) over (partition by query_id) else 1 end) as normalized from sc),
 rk as (select *, row_number() over (partition by query_id order by round(normalized, 9) desc, source_id) as rank from nm)
@@ -368,9 +368,7 @@ rk as (select *, row_number() over (partition by query_id order by round(normali
 
 def _bm25_ranked(spark: SparkSession, d: str, keep: int) -> DataFrame:
     queries, docs = _bm25_inputs(spark, d)
-    postings, terms = retrieval.bm25_index(docs)
-    scored = retrieval.bm25_scores(queries, postings, terms)
-    return retrieval.ranked(scored.withColumn("r9", F.round("normalized", 9)), "r9", keep)
+    return retrieval.ranked(retrieval.bm25_top_k(queries, docs, keep).withColumn("r9", F.round("normalized", 9)), "r9", keep)
 
 
 @query("bm25_top", _BM25 + "select query_id, source_id, cast(rank as int) as rank, round(normalized, 4) as score from rk where rank <= 10")

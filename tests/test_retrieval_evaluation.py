@@ -169,3 +169,26 @@ def test_dictionary_in_blocks_reads_as_one(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(mapping, "REFERENCE_ROWS", 3)
     assert rows() == whole and len(whole) == 6
+
+
+@pytest.mark.parametrize("words,parts", [(3, 1), (40, 1), (400, 7)])
+def test_best_pairs_equal_all_pairs_scored(spark, monkeypatch, words, parts):
+    import random
+
+    rng = random.Random(words)
+    text = lambda n: " ".join(f"w{int(words * rng.random() ** 3)}" for _ in range(rng.randrange(n)))
+    docs = spark.createDataFrame([(f"s{i}", text(12) or None) for i in range(200)], "source_id string, doc string")
+    asked = spark.createDataFrame([(i, text(9) + " unknown") for i in range(60)] + [(60, None)], "query_id bigint, query string")
+    nine = lambda t: {(r.query_id, r.rank, r.source_id, round(r.normalized, 6)) for r in retrieval.ranked(t.withColumn("r9", F.round("normalized", 9)), "r9", 4).collect()}
+    monkeypatch.setattr(retrieval, "DOC_PART", -(-200 // parts))
+    monkeypatch.setattr(retrieval, "ASKED_BLOCK", 25)
+    assert nine(retrieval.bm25_top_k(asked, docs, 4)) == nine(retrieval.bm25_scores(asked, *retrieval.bm25_index(docs)))
+
+
+@pytest.mark.parametrize("name", ["bm25_selected", "bm25_top", "rerank"])
+def test_every_question_is_answered(spark, data, name):
+    docs = table(spark, data, "catalog_sources").groupBy("source_uid").agg(F.max("embedding_hint").alias("h"), F.max("description").alias("t"))
+    known = docs.select(F.explode(X.bm25_tokens(F.coalesce("h", "t", F.lit("")))).alias("w")).distinct()
+    asked = table(spark, data, "benchmark_queries").select("query_uid", F.explode(X.bm25_tokens(F.col("query"))).alias("w"))
+    want = {r[0] for r in asked.join(known, "w").select("query_uid").distinct().collect()}
+    assert {r.query_id for r in QUERIES[name](spark, data).collect()} == want and len(want) > 2
