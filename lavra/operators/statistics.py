@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from lavra.session import parallelism
 RESAMPLES, SEED, ALPHA = 10_000, 42, 0.05
 #: Resamples of a block, and values that a block holds at once.
 BLOCK, CELLS = 500, 1_000_000
+#: Draws that are hashed at once, so that their words stay in a core's cache.
+DRAWS = 16_384
 BANDS = ("baixa", "media", "alta")
 
 
@@ -85,14 +91,130 @@ def bootstrap(pairs: DataFrame, stat: str = "mean", n_boot: int = RESAMPLES, see
     return tails.select("comparison", "n", "estimate", F.least(F.lit(1.0), 2 * F.least("up", "down")).alias("p_raw"), F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 
 
+_MD5_K = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_S = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_G = (lambda i: i, lambda i: (5 * i + 1) % 16, lambda i: (3 * i + 5) % 16, lambda i: 7 * i % 16)
+
+
+def _md5_head(words: list[int | np.ndarray], n: int) -> np.ndarray:
+    """The first eight hexadecimal digits, as numbers, of the MD5 of n messages of one block, given as 16 words each: equal ones as a number.
+
+    Only the first word of the digest is made, which is known after 61 of the 64 steps.
+    """
+    a, b, c, d = (np.full(n, x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, t = np.empty(n, dtype=np.uint32), np.empty(n, dtype=np.uint32)
+    for i in range(61):
+        kind = i // 16
+        if kind == 0:
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        w, k, s = words[_MD5_G[kind](i)], _MD5_K[i], _MD5_S[kind][i % 4]
+        if isinstance(w, np.ndarray):
+            np.add(f, w, out=f)
+        else:
+            k = (k + w) & 0xFFFFFFFF
+        np.add(f, np.uint32(k), out=f)
+        np.left_shift(f, np.uint32(s), out=t)
+        np.right_shift(f, np.uint32(32 - s), out=f)
+        np.bitwise_or(f, t, out=f)
+        np.add(f, b, out=a)
+        a, b, c, d = d, a, b, c
+    return (b + np.uint32(0x67452301)).byteswap()
+
+
+def _slot_words(slots: np.ndarray, before: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The message words that hold the slots' digits and the end mark behind `before` bytes: number of the first, words, bits of the messages."""
+    digits = np.char.mod("%d", slots).astype("S")
+    n = np.char.str_len(digits)
+    width = digits.dtype.itemsize
+    if before + width > 55:
+        raise ValueError("a seed of so many digits does not fit into one block")
+    first, lead = before // 4, before % 4
+    text = np.zeros((len(slots), -(-(lead + width + 1) // 4) * 4), dtype=np.uint8)
+    text[:, lead : lead + width] = digits.view(np.uint8).reshape(len(slots), width)
+    text[np.arange(len(slots)), lead + n] = 0x80
+    return first, np.ascontiguousarray(text.view("<u4").T), ((before + n) * 8).astype(np.uint32)
+
+
+def _drawn_means(values: list[np.ndarray], resamples: range, seed: int) -> np.ndarray:
+    """Means of every resample of each of the values, arrays of one length whose NaN do not count: (values, resamples)."""
+    n, there = len(values[0]), [~np.isnan(v) for v in values]
+    whole, zero = [t.all() for t in there], [np.where(t, v, 0.0) for t, v in zip(there, values)]
+    sums, counts = np.zeros((len(values), len(resamples))), np.zeros((len(values), len(resamples)))
+    span, rows = min(n, DRAWS), max(1, DRAWS // n)
+    tables: dict[tuple[int, int], tuple] = {}
+    at, of = 0, 0
+    while at < len(resamples):
+        starts = [f"{seed}|{b}|".encode() for b in resamples[at : at + rows]]
+        starts = [x for x in starts if len(x) == len(starts[0])]
+        size = len(starts[0])
+        if size != of:
+            tables, of = {}, size
+        heads = np.array([np.frombuffer(x.ljust(-(-size // 4) * 4, b"\0"), dtype="<u4") for x in starts])
+        for low in range(0, n, span):
+            if low not in tables:
+                tables[low] = _slot_words(np.arange(low, min(low + span, n)), size)
+            first, tail, bits = tables[low]
+            k = len(bits)
+            flat = (lambda x: x) if len(starts) == 1 else lambda x: np.tile(x, len(starts))
+            words: list = [0] * 16
+            for g in range(heads.shape[1]):
+                words[g] = int(heads[0, g]) if len(starts) == 1 else np.repeat(heads[:, g], k)
+            for g in range(len(tail)):
+                words[first + g] = flat(tail[g]) if first + g >= heads.shape[1] else flat(tail[g]) | (np.uint32(words[first + g]) if len(starts) == 1 else words[first + g])
+            words[14] = flat(bits)
+            hashed = _md5_head(words, k * len(starts))
+            if n < 2**32:
+                hashed -= hashed // np.uint32(n) * np.uint32(n)
+            hashed = hashed.astype(np.int64)
+            for j, v in enumerate(zero):
+                sums[j, at : at + len(starts)] += v.take(hashed).reshape(len(starts), k).sum(1)
+                counts[j, at : at + len(starts)] += k if whole[j] else there[j].take(hashed).reshape(len(starts), k).sum(1)
+        at += len(starts)
+    return np.where(counts > 0, sums / np.maximum(counts, 1), np.nan)
+
+
+def _drawn(n_boot: int, n_blocks: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                block, told = batch.column("block")[i].as_py(), batch.column("told")[i].values
+                d = told.field("d")
+                at = d.offsets.to_numpy()
+                values = d.values.to_numpy(zero_copy_only=False)
+                resamples = range(n_boot * block // n_blocks, n_boot * (block + 1) // n_blocks)
+                means = _drawn_means([values[x:y] for x, y in zip(at, at[1:])], resamples, seed)
+                for name, m in zip(told.field("comparison").to_pylist(), means):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(m), pa.string()), pa.array(m, mask=np.isnan(m))], names=["comparison", "m"])
+
+    return run
+
+
 def bootstrap_sql(pairs: DataFrame, n_boot: int = 200, seed: int = SEED) -> DataFrame:
-    """The mean bootstrap without Python: draws are hashes of (seed, resample, position), so any engine repeats them."""
-    ordered = pairs.withColumn("i", F.row_number().over(Window.partitionBy("comparison").orderBy("key")) - 1).select("comparison", "i", (F.col("a") - F.col("b")).alias("d"))
-    sizes = ordered.groupBy("comparison").agg(F.count("*").alias("n"), F.avg("d").alias("estimate"))
-    draws = sizes.select("comparison", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).repartition(2 * parallelism(pairs.sparkSession), "comparison", "b")
-    draws = draws.select("comparison", "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    means = draws.withColumn("i", hashed % F.col("n")).join(ordered, ["comparison", "i"]).groupBy("comparison", "b").agg(F.avg("d").alias("m"))
+    """The mean bootstrap whose draws are hashes of (seed, resample, position), so any engine repeats them.
+
+    A comparison is one array, as in bootstrap(). Draws hang on its length only, so comparisons of one length share them;
+    blocks of resamples, each a task, hash and look up a cacheful of draws at a time. Draws are neither shuffled nor written.
+    """
+    told = pairs.select("comparison", F.struct("key", (F.col("a") - F.col("b")).alias("d")).alias("o"))
+    sizes = told.groupBy("comparison").agg(F.count("*").alias("n"), F.avg("o.d").alias("estimate"))
+    packed = told.groupBy("comparison").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["d"]).alias("d"))
+    n_blocks = min(n_boot, 2 * parallelism(pairs.sparkSession))
+    blocks = packed.groupBy(F.size("d").alias("n")).agg(F.collect_list(F.struct("comparison", "d")).alias("told")).select("told", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    means = blocks.repartitionById(n_blocks, F.col("block")).mapInArrow(_drawn(n_boot, n_blocks, seed), "comparison string, m double")
     tails = means.groupBy("comparison").agg(F.avg((F.col("m") >= 0).cast("double")).alias("up"), F.avg((F.col("m") <= 0).cast("double")).alias("down"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     return tails.join(sizes, "comparison").select("comparison", "n", "estimate", F.least(F.lit(1.0), 2 * F.least("up", "down")).alias("p_raw"), F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 

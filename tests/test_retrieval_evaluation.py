@@ -192,3 +192,19 @@ def test_every_question_is_answered(spark, data, name):
     asked = table(spark, data, "benchmark_queries").select("query_uid", F.explode(X.bm25_tokens(F.col("query"))).alias("w"))
     want = {r[0] for r in asked.join(known, "w").select("query_uid").distinct().collect()}
     assert {r.query_id for r in QUERIES[name](spark, data).collect()} == want and len(want) > 2
+
+
+def test_hashed_draws_are_those_of_the_sql_and_no_rows(spark):
+    import hashlib
+
+    rng = np.random.default_rng(3)
+    of = {"x": rng.normal(size=1200), "y": rng.normal(size=1200), "z": rng.normal(size=7)}
+    rows = [(name, i, float(v), None if name == "y" and i % 5 == 0 else 0.0) for name, d in of.items() for i, v in enumerate(d)]
+    got = statistics.bootstrap_sql(spark.createDataFrame(rows, "comparison string, key int, a double, b double"), 120)
+    assert "md5" not in got._jdf.queryExecution().toString().lower()
+    told = {r.comparison: r for r in got.collect()}
+    for name, d in of.items():
+        d = np.where(np.arange(len(d)) % 5 == 0, np.nan, d) if name == "y" else d
+        at = [[int(hashlib.md5(f"42|{b}|{s}".encode()).hexdigest()[:8], 16) % len(d) for s in range(len(d))] for b in range(120)]
+        low, high = np.quantile([np.nanmean(d[i]) for i in at], [0.025, 0.975])
+        assert told[name].n == len(d) and abs(told[name].ci_low - low) < 1e-12 and abs(told[name].ci_high - high) < 1e-12
