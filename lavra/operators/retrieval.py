@@ -23,6 +23,8 @@ QUERY_BLOCK, VECTOR_PART, BROADCAST_CELLS = 1024, 65_536, 4_000_000
 SOURCE_BLOCK = 1024
 #: Documents that a BM25 task holds, most queries that it answers with them, and queries that are worth a task.
 DOC_PART, ASKED_BLOCK, ASKED_LEAST = 500_000, 25_000, 250
+#: Common words, from one in so many documents on, that are kept as rows of a matrix, queries multiplied by it at once, and documents of a stretch.
+DENSE_WORDS, DENSE_SHARE, ASKED_AT_ONCE, STRETCH = 32, 32, 16, 256
 TYPE_ORDER = ("sql", "api", "spreadsheets")
 
 
@@ -122,6 +124,14 @@ class _Postings:
         self.most = np.zeros(n_words)
         np.maximum.at(self.most, self.word, self.by_doc)
         self.partial, self.weight = np.zeros(len(lengths)), np.zeros(n_words)
+        common = np.argsort(-np.diff(self.word_at), kind="stable")[:DENSE_WORDS]
+        common = common[np.diff(self.word_at)[common] * DENSE_SHARE > len(lengths)]
+        self.row, self.dense = np.full(n_words, -1), np.zeros((len(common), -(-len(lengths) // STRETCH) * STRETCH), dtype=np.float32)
+        self.row[common] = np.arange(len(common))
+        self.product = np.empty((ASKED_AT_ONCE, self.dense.shape[1]), dtype=np.float32)
+        for i, w in enumerate(common):
+            at = slice(self.word_at[w], self.word_at[w + 1])
+            self.dense[i, self.doc[at]] = self.by_word[at]
 
     def scores(self, docs: np.ndarray) -> np.ndarray:
         """Whole scores under self.weight, for documents that have a posting, each summed in the order of its words."""
@@ -164,7 +174,10 @@ class _Postings:
         reach = [docs[self.partial[docs] >= floor - slack - rest] for docs in met]
         for docs in met:
             self.partial[docs] = 0
-        docs = np.unique(np.concatenate(reach)) if reach else pool
+        return self.chosen(words, weights, np.unique(np.concatenate(reach)) if reach else pool, k, slack)
+
+    def chosen(self, words: np.ndarray, weights: np.ndarray, docs: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidates in the order of their ids, those that top() returns."""
         if not len(docs):
             return docs, np.zeros(0)
         self.weight[words] = weights
@@ -181,6 +194,39 @@ class _Postings:
         return docs, scores
 
 
+    def tops(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """top() of several queries: common words by one product in single precision, the others added to it; what comes near the best is scored again.
+
+        The k-th best of the stretches' best scores bounds the k-th best score. Where that bound does not tell documents
+        with a word from those without, or weights are negative, top() goes from word to word.
+        """
+        asked = [(words[there], weights[there]) for words, weights in asked for there in (words < len(self.most),)]
+        factors, product = np.zeros((len(asked), len(self.dense)), dtype=np.float32), self.product[: len(asked)]
+        for i, (words, weights) in enumerate(asked):
+            row = self.row[words]
+            factors[i, row[row >= 0]] = weights[row >= 0]
+        np.matmul(factors, self.dense, out=product)
+        stretch = STRETCH
+        while stretch > 1 and product.shape[1] // stretch < 16 * k:
+            stretch //= 2
+        for (words, weights), near in zip(asked, product):
+            bounds = np.abs(weights * self.most[words]).sum()
+            error, slack, floor = (len(words) + 8) * 2.4e-7 * bounds, 2e-9 * max(bounds, 1.0), 0.0
+            if (weights >= 0).all() and product.shape[1] // stretch >= k:
+                for w, weight in zip(words, weights):
+                    if self.row[w] < 0:
+                        at = slice(self.word_at[w], self.word_at[w + 1])
+                        near[self.doc[at]] += (weight * self.by_word[at]).astype(np.float32)
+                high = near.reshape(-1, stretch).max(1)
+                floor = float(np.partition(high, -k)[-k]) - 2 * error - slack
+            if floor > error:
+                at = np.flatnonzero(high >= np.float32(floor))
+                of, to = np.nonzero(near.reshape(-1, stretch)[at] >= np.float32(floor))
+                yield self.chosen(words, weights, at[of] * stretch + to, k, slack)
+            else:
+                yield self.top(words, weights, k)
+
+
 def _bm25_block(k: int, avgdl: float, names: list[str]):
     def flat(parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         whole = pa.concat_arrays(parts)
@@ -204,12 +250,15 @@ def _bm25_block(k: int, avgdl: float, names: list[str]):
             words, lengths = flat([rows.column("words")])
             idf, at = flat([rows.column("idf")])[0], np.concatenate([[0], np.cumsum(lengths)])
             found, of, scores = [], [], []
-            for i in range(len(rows)):
-                own, first, times = np.unique(words[at[i] : at[i + 1]], return_index=True, return_counts=True)
-                docs, s = index.top(own, times * idf[at[i] : at[i + 1]][first], k)
-                found.append(docs)
-                of.append(np.full(len(docs), i))
-                scores.append(s)
+            for low in range(0, len(rows), ASKED_AT_ONCE):
+                asked = []
+                for i in range(low, min(low + ASKED_AT_ONCE, len(rows))):
+                    own, first, times = np.unique(words[at[i] : at[i + 1]], return_index=True, return_counts=True)
+                    asked.append((own, times * idf[at[i] : at[i + 1]][first]))
+                for i, (docs, s) in enumerate(index.tops(asked, k), low):
+                    found.append(docs)
+                    of.append(np.full(len(docs), i))
+                    scores.append(s)
             yield pa.RecordBatch.from_arrays([rows.column("query_id").take(pa.array(np.concatenate(of))), ids.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], names=names)
 
     return run
